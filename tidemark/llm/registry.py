@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_dedup
+from tidemark.llm import queries_dedup, queries_sampling
 
-_MODULES = [queries_dedup]
+_MODULES = [queries_dedup, queries_sampling]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
