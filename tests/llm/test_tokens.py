@@ -72,3 +72,41 @@ def test_plane_files_of_nothing(spark):
     path = planes.new_path(spark)
     planes.write(rows(spark).limit(0), path)
     assert planes.read_documents(spark, path).collect() == []
+
+
+def test_hilbert_curve_is_a_walk():
+    """Every cell has its own place, and neighbours on the curve are neighbours in space."""
+    from tidemark.llm import packing
+
+    for dims, bits in [(2, 4), (3, 3)]:
+        cells = np.stack(np.meshgrid(*[np.arange(2**bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        keys = packing.hilbert_keys(cells, bits)
+        assert sorted(keys.tolist()) == list(range(len(cells)))
+        walk = cells[np.argsort(keys)]
+        assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("length", [8, 2048])
+def test_packing(spark, library, length):
+    from tidemark.llm import packing
+
+    got = packing.pack(rows(spark), length=length).collect()
+    want = [(r.doc_id, [*library.encode(r.text or "", add_special_tokens=False).ids, packing.END]) for r in rows(spark).collect()]
+    assert sum(len(r.ids) // 4 for r in got) == sum(len(x) for _, x in want)
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist(), r.doc_tokens))
+    for doc_id, ids in want:
+        if doc_id is not None:
+            own = sorted(pieces[doc_id])
+            assert sum((x for _, x, _ in own), []) == ids and own[0][0] == 0 and {n for *_, n in own} == {len(ids)}
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, len(r.ids) // 4))
+    for own in used.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at == length or at & (at - 1) == 0
+    assert packing.pack(rows(spark).limit(0)).collect() == []

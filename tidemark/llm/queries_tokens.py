@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import planes
+from tidemark.llm import packing, planes
 from tidemark.llm._shared import documents
 
 
@@ -16,5 +16,17 @@ def op2_bit_planes(spark, sf_dir):
     )
 
 
-QUERIES = {"op2_bit_planes": op2_bit_planes}
+def op7_curve_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir)).select(
+        "doc_id",
+        "start",
+        F.expr("octet_length(ids) div 4").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+QUERIES = {"op2_bit_planes": op2_bit_planes, "op7_curve_packing": op7_curve_packing}
 ORACLE_SQL: dict[str, str] = {}
