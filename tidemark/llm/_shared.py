@@ -58,3 +58,25 @@ def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot from this share of the rows; so at most HOT_SHARE keys are hot, whatever the data.
+HOT_SHARE, HOT_LEAST = 2000, 64
+
+
+def attach(rows: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per value of ``key`` and, as ``size``, its number of rows.
+
+    Hot keys are looked up in a broadcast of at most HOT_SHARE rows; their rows then go on under keys of
+    their own, so no key brings many rows to one task. ``rows`` and ``table`` are written tables.
+    """
+    rest = [c for c in table.columns if c not in (key, size)]
+    least = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    hot = table.filter(F.col(size) >= least).select(key, *(F.col(c).alias(f"__hot_{c}") for c in rest), F.lit(True).alias("__hot"))
+    spread = F.when(F.col("__hot"), F.lit(None)).otherwise(F.col(key))
+    salt = F.when(F.col("__hot"), F.xxhash64(*rows.columns)).otherwise(F.lit(0))
+    found = rows.join(F.broadcast(hot), key, "left").withColumn("__key", spread).withColumn("__salt", salt)
+    cold = table.select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__salt"), *(F.col(c).alias(f"__cold_{c}") for c in rest))
+    return found.join(cold, ["__key", "__salt"], "left").select(
+        *rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in rest)
+    )

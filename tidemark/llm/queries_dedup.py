@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, simhash
 from tidemark.llm._shared import documents
 
 
@@ -20,5 +22,10 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op8_covering_simhash(spark, sf_dir):
+    found = simhash.classes(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
+
+
+QUERIES = {"op9_exact_dedup": op9_exact_dedup, "op8_covering_simhash": op8_covering_simhash}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
