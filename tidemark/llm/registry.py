@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_dedup, queries_sampling, queries_tokens
+from tidemark.llm import queries_dedup, queries_sampling, queries_text, queries_tokens
 
-_MODULES = [queries_dedup, queries_sampling, queries_tokens]
+_MODULES = [queries_dedup, queries_sampling, queries_text, queries_tokens]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
