@@ -45,7 +45,10 @@ class DigestIndex:
 
     def append(self, digests: DataFrame) -> DataFrame:
         """Add the new texts of ``digests(doc_id, digest)``; returns them, one row per new text."""
-        batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # Written first: the optimizer would push an anti-join below the partial aggregation.
+        batch = materialise(
+            digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch"
+        )
         seen = self.read().select("digest")
         new = materialise(batch.hint("merge").join(seen, "digest", "left_anti"), "new_digests")
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)

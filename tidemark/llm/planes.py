@@ -60,7 +60,7 @@ def join_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
     return ids
 
 
-def pack_segment(doc_ids: list, ids: list[bytes], bits: int = 8, block: int = BLOCK, level: int = 3) -> bytes:
+def pack_segment(doc_ids: list, ids: list[bytes], bits: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
     press = zstandard.ZstdCompressor(level=level).compress
     flat = np.frombuffer(b"".join(ids), "<u4")
     table = press(
@@ -156,8 +156,11 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, bits: int =
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """``doc_id, start, ids`` of every document in the files; ids as little-endian unsigned 32-bit integers."""
+def read(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, shard, segment, place, ids`` of every document; ``shard, segment, base``: ids before a segment).
+
+    ``ids`` are little-endian unsigned 32-bit integers.
+    """
 
     def documents(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("segment", pa.int32()), ("place", pa.int64()), ("ids", pa.binary())])
@@ -186,9 +189,15 @@ def read(spark, path: str) -> DataFrame:
     return rows, starts
 
 
+#: Segments whose starts are broadcast: 16 bytes each, so 16 MB at most.
+BROADCAST_SEGMENTS = 1_000_000
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """``doc_id, start, ids``."""
     rows, starts = read(spark, path)
+    if spark.read.schema(SEGMENTS).parquet(path).count() <= BROADCAST_SEGMENTS:
+        starts = F.broadcast(starts)
     return rows.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "ids")
 
 

@@ -10,14 +10,17 @@ BPE model piece by piece; any other chunk is encoded by the library as it is.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 300_000
+CACHE = 500_000
 #: Characters that normalisation leaves alone apart from case; none of them is white space.
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+")
+#: Signs that often end a chunk; a run of them is one piece.
+_SIGNS = b".,;:!?*$%&"
 #: The pre-tokenizer's pattern: a fixed value of the vocabulary file.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -36,6 +39,7 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # each piece is asked for once; the library's own cache only costs time
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -44,6 +48,14 @@ class WordEncoder(dict):
         if len(self) >= CACHE:
             self.clear()
             self.pieces.clear()
+        core = chunk.rstrip(_SIGNS)
+        if core.isalpha():  # letters of ASCII alone, then signs: two pieces
+            rest = chunk[len(core) :]
+            ids = self._piece(core.lower().decode())
+            if rest:
+                ids += self._piece(rest.decode())
+            self[chunk] = ids
+            return ids
         text = chunk.decode()
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
             ids = b"".join(map(self._piece, _PIECE.findall(text.lower())))
@@ -56,7 +68,8 @@ class WordEncoder(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            own = [t.id for t in self.model.tokenize(shown)]
+            ids = struct.pack(f"<{len(own)}I", *own)
             self.pieces[piece] = ids
         return ids
 
