@@ -241,24 +241,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 _scorers: dict[int, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, spans."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        _identifier(docs, model, switch), "doc_id LONG, lang_pred STRING, score DOUBLE, spans ARRAY<STRUCT<first: INT, last: INT, lang: STRING>>"
-    )
+def _scorer(shared) -> Scorer:
+    """The worker's scorer of a broadcast model; kept between tasks."""
+    own = shared.value
+    if id(own) not in _scorers:
+        _scorers.clear()
+        _scorers[id(own)] = Scorer(own)
+    return _scorers[id(own)]
 
 
-def _identifier(docs: DataFrame, model: Model, switch: float):
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
     def run(batches):
-        own = shared.value
-        scorer = _scorers.get(id(own))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(own)] = Scorer(own)
+        scorer = _scorer(shared)
         for batch in batches:
             found = [identify_text(t, scorer, switch) for t in as_bytes(batch.column(1))]
             spans = [[{"first": a, "last": b, "lang": c} for a, b, c in x[2]] for x in found]
@@ -267,4 +266,19 @@ def _identifier(docs: DataFrame, model: Model, switch: float):
                 schema=schema,
             )
 
-    return run
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id LONG, lang_pred STRING, score DOUBLE, spans ARRAY<STRUCT<first: INT, last: INT, lang: STRING>>")
+
+
+def identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs`` with a language that has at least the share ``least`` of the letters; columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = _scorer(shared)
+        for batch in batches:
+            found = [identify_text(t, scorer, switch) for t in as_bytes(batch.column(at))]
+            yield batch.filter(pa.array([lang != UNKNOWN and share >= least for lang, share, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -87,21 +87,11 @@ def _turn(rows: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, inclusion: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """One row a source: what its documents need to know to decide for themselves.
 
-    ``inclusion``: relative inclusion weights of documents within their source; all alike by default.
+    ``narrow``: a written table of doc_id, source, size and w (inclusion weight).
     """
-    weight = F.coalesce(inclusion, F.lit(1.0)) if inclusion is not None else F.lit(1.0)
-    narrow = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            words().alias("size"),
-            F.when(weight > 0, weight).otherwise(1.0).cast("double").alias("w"),
-        ),
-        "sizes",
-    )
     per_source = narrow.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w")
     )
@@ -110,19 +100,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, in
     )
     goals = materialise(
         goals.join(per_source.select(F.col("source").alias("s"), "mean_w"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
+        .drop("source")
         .withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))),
         "goals",
     )
-    rows = narrow.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    share = F.try_divide(F.col("need"), F.col("source_size")) * F.try_divide(F.col("w"), F.col("mean_w"))
-    part = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), share))
-    u = uniform(seed)
-    # q / (1 + q) is a monotone image in (0, 1) of the ranking odds q.
-    odds = (u / (1 - u)) / (part / (1 - part))
-    rows = materialise(rows.withColumn("rank01", odds / (1 + odds)), "ranked")
-    open_rows = rows.filter((F.col("need") > 0) & (F.col("size") > 0)).select("doc_id", "source", "size", "need", "rank01")
     by_source = F.col("source").eqNullSafe(F.col("s"))
+    ranked = narrow.join(goals, by_source).drop("s").withColumn("rank01", rank(seed)).filter((F.col("need") > 0) & (F.col("size") > 0))
+    open_rows = materialise(ranked.select("doc_id", "source", "size", "need", "rank01"), "ranked")
 
     first = _narrow(open_rows.withColumn("low", F.lit(0.0)), "low", 1 / BINS)
     turn1 = materialise(_turn(first), "turn1")
@@ -141,17 +125,58 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, in
         .groupBy("source")
         .agg(F.max(F.struct("rank01", "doc_id", "size")).alias("last"))
     )
-    cuts = materialise(
-        turn1.join(crossing.withColumnRenamed("source", "c"), F.col("s").eqNullSafe(F.col("c")), "left").join(
-            turn2.select(F.col("s").alias("t"), F.col("turn").alias("turn2")), F.col("s").eqNullSafe(F.col("t")), "left"
-        ).select(F.col("s").alias("cut_source"), (F.col("turn") / BINS + F.col("turn2") / BINS**2).alias("floor"), "last"),
-        "cuts",
+    cuts = turn1.select("s", "turn").join(
+        turn2.select(F.col("s").alias("t"), F.col("turn").alias("turn2")), F.col("s").eqNullSafe(F.col("t")), "left"
+    ).join(crossing.withColumnRenamed("source", "c"), F.col("s").eqNullSafe(F.col("c")), "left").select(
+        F.col("s").alias("cut_source"), (F.col("turn") / BINS + F.col("turn2") / BINS**2).alias("floor"), "last"
     )
-    got = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    return materialise(goals.join(cuts, F.col("s").eqNullSafe(F.col("cut_source")), "left").drop("cut_source"), "mixing_plan")
+
+
+def rank(seed: int = SEED) -> Column:
+    """Random odds by inclusion odds, as q / (1 + q): a monotone image of them in (0, 1)."""
+    share = F.try_divide(F.col("need"), F.col("source_size")) * F.try_divide(F.col("w"), F.col("mean_w"))
+    part = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), share))
+    u = uniform(seed)
+    odds = (u / (1 - u)) / (part / (1 - part))
+    return odds / (1 + odds)
+
+
+def decide(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows(doc_id, source, size, w, ...)`` with the plan's columns, ``copies`` and ``taken``."""
+    got = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank01", rank(seed))
     drawn = (F.col("size") > 0) & (F.col("need") > 0) & F.when(
         F.col("last").isNotNull(), F.struct("rank01", "doc_id", "size") <= F.col("last")
     ).otherwise(F.col("rank01") < F.col("floor"))
     copies = F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("int")
-    return got.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken")
+    return got.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _measured(docs: DataFrame, inclusion: Column | None, *more: Column) -> DataFrame:
+    weight = F.coalesce(inclusion, F.lit(1.0)) if inclusion is not None else F.lit(1.0)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        words().alias("size"),
+        F.when(weight > 0, weight).otherwise(1.0).cast("double").alias("w"),
+        *more,
     )
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, inclusion: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    ``inclusion``: relative inclusion weights of documents within their source; all alike by default.
+    """
+    narrow = materialise(_measured(docs, inclusion), "sizes")
+    return decide(narrow, plan(narrow, weights, most, seed), seed).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, inclusion: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each as many times as it has copies, with all its columns.
+
+    Texts aren't shuffled: the plan has one row a source, and each row decides for itself.
+    """
+    narrow = materialise(_measured(docs, inclusion), "sizes")
+    rows = decide(_measured(docs, inclusion, F.struct(*(F.col(c) for c in docs.columns)).alias("doc")), plan(narrow, weights, most, seed), seed)
+    return rows.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

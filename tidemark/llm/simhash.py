@@ -32,7 +32,7 @@ from tidemark.llm.components import components
 from tidemark.llm.tokens import as_bytes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-BUCKET = 256
+BUCKET = 2048
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -60,24 +60,28 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, size), repeat(SEED)), np.uint64, count))
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` as a signed integer of the same bits."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *more: str) -> DataFrame:
+    """``doc_id, fp`` of every row, and the columns ``more`` (integers); ``fp`` as a signed integer of the same bits."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *more)])
         for batch in batches:
             fps = np.array([fingerprint(t, size) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id LONG, fp LONG")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.col(c).cast("long").alias(c) for c in more))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` LONG" for c in ("doc_id", "fp", *more)))
 
 
 def cover(free: list[int], radius: int) -> list[int]:
     """The bits that each table keeps, as masks, for differences within the bits ``free``."""
     tables = (1 << (radius + 1)) - 1
-    vector = {bit: k % tables + 1 for k, bit in enumerate(free)}
-    return [sum(1 << bit for bit in free if (vector[bit] & v).bit_count() & 1) for v in range(1, tables + 1)]
+    best = []
+    for step in range(1, tables):  # any choice of vectors is complete; take one whose tables keep many bits each
+        vector = {bit: k * step % tables + 1 for k, bit in enumerate(free)}
+        masks = [sum(1 << bit for bit in free if (vector[bit] & v).bit_count() & 1) for v in range(1, tables + 1)]
+        best = max(best, masks, key=lambda m: min((x.bit_count() for x in m), default=-1))
+    return best
 
 
 def _signed(x: int) -> int:
@@ -159,16 +163,30 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id that links reach), kept."""
     rows = materialise(fingerprints(docs, size), "fingerprints")
-    return group(rows, radius)
+    return group(rows, radius).drop("component").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def group(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """As ``classes``, from ``doc_id, fp``."""
+    """A written table ``rows(doc_id, fp, ...)`` with each row's component and ``component_id``."""
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct_fps")
     found = components(links(distinct.select("fp"), radius))
     own = materialise(
         distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component")), "members"
     )
     least = materialise(own.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    table = materialise(own.join(least, "component").select("fp", "component_id", "n"), "classes")
-    return attach(rows, "fp", table, "n").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    table = materialise(own.join(least, "component").select("fp", "component", "component_id", "n"), "classes")
+    return attach(rows, "fp", table, "n")
+
+
+def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: that with the smallest id, then the smallest text hash.
+
+    Rows alike in id and text are one decision.
+    """
+    mark = F.xxhash64(text_or_empty())
+    rows = materialise(fingerprints(docs.withColumn("__mark", mark), size, "__mark"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("first")
+    keep = group(rows, radius).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.__mark").alias("__own"))
+    return docs.withColumn("__mark", mark).join(
+        materialise(keep, "keep"), (F.col("__mark") == F.col("__own")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi"
+    ).drop("__mark")
