@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import text_queries
 
-
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+_MODULES = [text_queries]
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
+FLAGSHIP = QUERIES["t1_line_count"]
