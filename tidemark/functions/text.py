@@ -19,6 +19,11 @@ DEVICE_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{d}{n}" for d in ("COM", "LPT")
 SPACE = "(?U)\\s"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas, where Spark shares no subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(t: Column) -> Column:
     return F.regexp_replace(t, f"{SPACE}+\\z|\\A{SPACE}+", "")
 
@@ -90,7 +95,7 @@ def line_count(t: Column, width: int = MAX_CHARS) -> Column:
 
 def sentences(t: Column) -> Column:
     found = F.filter(F.transform(F.split(t, f"(?<=[.!?…]){SPACE}+(?=[{SENTENCE_STARTS}])"), strip), lambda s: s != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(t)))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(strip(t))))
 
 
 def is_dialogue(t: Column) -> Column:
