@@ -76,7 +76,7 @@ def corpus():
     return [*texts, None, "", "unseen wörds 12 \t\n zq", "q" * 3000]
 
 
-@pytest.mark.parametrize("part", [3_000_000, 400])
+@pytest.mark.parametrize("part", [3_000_000, 100])
 def test_scores(spark, part):
     texts = corpus()
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, "the b,")]
@@ -87,7 +87,7 @@ def test_scores(spark, part):
     seen = Counter(w for t in train for w in [*t.lower().split(), b"\n"])
     N, V = sum(seen.values()), len(seen)
     model = lm_scoring.LanguageModel(docs.filter(~lm_scoring.held_out()), depth=3, part=part)
-    assert (len(model.parts) > 1) == (part == 400)
+    assert (len(model.parts) > 1) == (part == 100)
     got = lm_scoring.score(docs, model).collect()
     assert len(got) == len(rows)
     want = {}

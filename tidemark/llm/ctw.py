@@ -177,46 +177,45 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-class Scorer:
-    """Scores codes by a part of the model: symbol table, bit nodes from depth 2 down, and the top."""
+class Symbols:
+    """log10 of bytes after contexts that training met with them."""
 
-    def __init__(self, table, values, nodes, ones, top: Top, depth: int = DEPTH):
-        self.table, self.values, self.nodes, self.ones, self.top, self.depth = table, values, nodes, ones, top, depth
-        self.bits = int(len(table)).bit_length() - 1
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.table, self.values = build_hash(keys, values)
+        self.bits = len(self.table).bit_length() - 1
 
-    def log10(self, code: np.ndarray) -> np.ndarray:
+    def log10(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 for those not met; places of those not met)."""
         place = _slot(code, self.bits)
-        found = self.table[place]
         out = self.values[place].astype(np.float64)
-        left = np.flatnonzero(found != code)
+        left = np.flatnonzero(self.table[place] != code)
+        out[left] = 0
         place, missing = place[left], []
-        at = found[left]
         while len(left):
+            at = self.table[place]
             end = at == -1
             missing.append(left[end])
-            left, place = left[~end], (place[~end] + 1) & (len(self.table) - 1)
-            at = self.table[place]
             hit = at == code[left]
             out[left[hit]] = self.values[place[hit]]
-            left, place, at = left[~hit], place[~hit], at[~hit]
-        rare = np.concatenate(missing) if missing else np.zeros(0, np.int64)
-        if len(rare):
-            unique, back = np.unique(code[rare], return_inverse=True)
-            out[rare] = self.unseen(unique)[back]
-        return out
+            go = ~(end | hit)
+            left, place = left[go], (place[go] + 1) & (len(self.table) - 1)
+        return out, np.sort(np.concatenate(missing)) if missing else np.zeros(0, np.int64)
 
-    def unseen(self, code: np.ndarray) -> np.ndarray:
-        """Bytes that training never met after their longest context: bit by bit, from the deepest node met."""
-        context, byte, total = code >> 8, code & 255, np.zeros(len(code))
-        for b in range(8):
-            node = (1 << b) | (byte >> (8 - b))
-            p = self.top.root[node]
-            one = self.top.one[((context & 255) << 8) | node]
-            p = np.where(np.isnan(one), p, one)
-            for d in range(2, self.depth + 1):
-                key = (d << 48) | ((context & ((1 << (8 * d)) - 1)) << 8) | node
-                at = np.minimum(np.searchsorted(self.nodes, key), max(0, len(self.nodes) - 1))
-                if len(self.nodes):
-                    p = np.where(self.nodes[at] == key, self.ones[at], p)
-            total += np.log(np.where((byte >> (7 - b)) & 1 == 1, p, 1 - p))
-        return total / LN10
+
+def unseen(code: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], top: Top) -> np.ndarray:
+    """log10 of bytes that training never met after their longest context: bit by bit, by the deepest node met.
+
+    ``levels``: a shard's ``estimates``.
+    """
+    context, byte, total = code >> 8, code & 255, np.zeros(len(code))
+    for b in range(8):
+        node = (1 << b) | (byte >> (8 - b))
+        one = top.one[((context & 255) << 8) | node]
+        p = np.where(np.isnan(one), top.root[node], one)
+        for d, (keys, ones) in sorted(levels.items()):
+            if len(keys):
+                key = ((context & ((1 << (8 * d)) - 1)) << 8) | node
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                p = np.where(keys[at] == key, ones[at], p)
+        total += np.log(np.where((byte >> (7 - b)) & 1 == 1, p, 1 - p))
+    return total / LN10
