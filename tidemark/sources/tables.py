@@ -38,7 +38,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as marks on a time axis of each user: ``chapter_num, idx, t`` (seconds since the user's first)."""
     events = table(spark, sf_dir, "events")
     own = Window.partitionBy("user_id")
-    at = F.unix_micros("ts") / F.lit(1e6)
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))") / F.lit(1e6)
     return events.select(
         F.col("user_id").alias("chapter_num"),
         (F.row_number().over(own.orderBy("ts", "event_id")) - 1).alias("idx"),
