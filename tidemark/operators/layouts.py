@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,17 @@ def edited_breaks(breaks: list[int], size: int, how: str, k: int, at: int | None
     return [*breaks[:k], at, *breaks[k + 1 :]], old, [(edges[k], at), (at, edges[k + 2])]
 
 
+def _whole(x):
+    """Null as None, and whole numbers as such: a data frame holds nullable integers as floats."""
+    return None if pd.isna(x) else int(x)
+
+
+def operation(o) -> SimpleNamespace:
+    """A row of OPS as an operation."""
+    own = {c: _whole(getattr(o, c)) for c in ("op_id", "board", "at", "until", "n_words")}
+    return SimpleNamespace(op=o.op, key=o.key, text=o.text, value=o.value, **own)
+
+
 class Chapter:
     """A layout being edited. ``words``: the chapter's words, for texts of boards (rendered with spaces)."""
 
@@ -133,7 +145,10 @@ class Chapter:
         run = getattr(self, f"op_{o.op}", None)
         if run is None:
             raise Rejected(f"no operation is called {o.op}")
-        run(o)
+        try:
+            run(operation(o))
+        except TypeError as e:  # a parameter that the operation needs is null
+            raise Rejected(f"{o.op} lacks a parameter") from e
 
     def stale(self) -> list[str]:
         """Corrections whose words are no board's any more."""

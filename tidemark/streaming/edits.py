@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.layouts import Rejected, Chapter
+from tidemark.operators.layouts import Chapter, Rejected
 
 STATE = "n_words INT, breaks ARRAY<INT>, rejected INT"
 OUT = "chapter_num LONG, breaks ARRAY<INT>, rejected INT"
