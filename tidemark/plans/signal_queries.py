@@ -118,3 +118,8 @@ ORACLE_SQL["e10_peaks"] = """
 SELECT vec_id AS chapter_num, CAST(k AS INTEGER) AS bucket, CAST(trunc(least(greatest(list_min(p)::DOUBLE * 127, -127), 127)) AS TINYINT) AS lo, CAST(trunc(least(greatest(list_max(p)::DOUBLE * 127, -127), 127)) AS TINYINT) AS hi
 FROM (SELECT vec_id, k, embedding[k * 16 + 1 : k * 16 + 16] AS p FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 16)) AS k FROM embeddings))
 """
+_AT = lambda c: f"SELECT chapter_num, point_id, {c} AS t, CAST(least(greatest(round_even({c}, 0), 0), 7) AS INTEGER) AS f FROM ({_SNAP})"
+ORACLE_SQL["e14_safety_report"] = f"""
+SELECT side, count(*) AS cuts, count(*) FILTER (safety >= 0.08) AS safe, median(safety) AS median_safety
+FROM (SELECT 'before' AS side, safety FROM ({_PROBED.format(points=_AT("t_end"))}) UNION ALL SELECT 'after', safety FROM ({_PROBED.format(points=_AT("cut"))})) GROUP BY side
+"""
