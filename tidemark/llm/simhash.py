@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import attach, materialise, text_or_empty
+from tidemark.llm._shared import attach, materialise, partitions, text_or_empty
 from tidemark.llm.components import components
 from tidemark.llm.tokens import as_bytes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BUCKET = 2048
+SPREAD = 1 << 19
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -128,6 +129,9 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     rows, kept, out = fps.select(F.lit(0).cast("long").alias("path"), "fp"), {0: 0}, None
     while True:
         tables = _level(kept, radius)
+        # Each row becomes as many as there are tables; a task makes about SPREAD of them.
+        copies = rows.count() * max(map(len, tables.values()))
+        rows = rows.repartition(max(partitions(fps.sparkSession), -(-copies // SPREAD)), "fp")
         first = sorted(tables)
         numbers = [F.array(*[F.struct(F.lit(p).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for p, m in tables[k]]) for k in first]
         choice: Column = numbers[0] if len(numbers) == 1 else F.create_map(*[x for k, n in zip(first, numbers, strict=True) for x in (F.lit(k).cast("long"), n)])[F.col("path")]
