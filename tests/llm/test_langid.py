@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -28,6 +29,24 @@ def test_path_is_best(seed):
         assert cost(scores, path.tolist(), 3.0) == pytest.approx(best)
 
 
+def test_scores_of_many_words_are_those_of_each():
+    counts = [("en", "t", g, 3) for g in ("^^t", "^th", "the", "he$")] + [("fr", "t", g, 2) for g in ("^^l", "^le", "le$")] + [("en", "w", "the", 5), ("fr", "w", "le", 4), ("en", "s", "Latin", 9), ("fr", "s", "Latin", 9), ("ru", "s", "Cyrillic", 5)]
+    model = langid.Model(counts)
+    words = ["the", "le", "x", "дом", "thethethe", "é" * 400]
+    letters = len({g[2] for _, kind, g, _ in counts if kind == "t"}) + 1
+    for word, row in zip(words, model.score(words), strict=True):
+        logs = []
+        for lang in model.langs:
+            n = {g: c for own, kind, g, c in counts if (own, kind) == (lang, "t")}
+            x = sum(math.log((n.get(g, 0) + 0.1) / (sum(c for h, c in n.items() if h[:2] == g[:2]) + 0.1 * letters)) if any(g == h for _, kind, h, _ in counts if kind == "t") else math.log(0.1 / letters) for g in langid.trigrams(word))
+            share = sum(c for own, kind, w, c in counts if (own, kind, w) == (lang, "w", word)) / (sum(c for own, kind, _, c in counts if (own, kind) == (lang, "w")) or 1)
+            known = any((kind, w) == ("w", word) for _, kind, w, _ in counts)
+            x = math.log(0.5 * math.exp(max(x, -700)) + 0.5 * share) if known else x
+            logs.append(x if (lang == "ru") == (word == "дом") else -math.inf)
+        assert row.tolist() == pytest.approx([max(x - max(logs), -langid.MOST) for x in logs])
+    assert (model.score(words) == np.concatenate([model.score([w]) for w in words])).all()
+
+
 def docs(spark):
     rows = [(k, " ".join((EN, FR, RU)[k % 3].split()[k % 5 :] * 3), ("en", "fr", "ru")[k % 3], None, None) for k in range(60)]
     rows += [(100, None, "en", None, None), (101, "12 34 !!", "fr", None, None), (102, " ".join([EN] * 4 + [FR] * 3), None, None, None)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ SWITCH = 20.0
 MOST = 6.0
 #: Share of a language's letters from which a script belongs to it.
 SCRIPT_SHARE = 0.001
-CACHE = 200_000
+CACHE = 500_000
+#: Signs that often end a word.
+SIGNS = b".,;:!?*$%&"
 UNKNOWN = "und"
 
 # Unicode ranges of scripts (first and last code point).
@@ -56,6 +59,7 @@ SCRIPTS = {
 }
 
 
+@cache
 def script_of(letter: str) -> str:
     point = ord(letter)
     return next((name for name, ranges in SCRIPTS.items() if any(a <= point <= b for a, b in ranges)), "Other")
@@ -108,19 +112,42 @@ class Model:
                 if n >= SCRIPT_SHARE * sum(own.values()):
                     self.candidates.setdefault(script, set()).add(self.langs.index(lang))
 
-    def score(self, word: str) -> list[float]:
-        """Log-probabilities of a word of letters, less the best, at least -MOST."""
-        rows = [self.grams.get(g, self.new_gram) for g in trigrams(word)]
-        logs = list(map(sum, zip(*rows, strict=True)))
-        known = self.words.get(word)
-        if known:
-            logs = [math.log(0.5 * math.exp(max(x, -700)) + 0.5 * p) for x, p in zip(logs, known, strict=True)]
-        first = script_of(word[0])
-        fit = self.candidates.get(first)
-        if fit and len(fit) < len(logs):
-            logs = [x if k in fit else -math.inf for k, x in enumerate(logs)]
-        top = max(logs)
-        return [max(x - top, -MOST) for x in logs]
+        # The same as arrays, to score many words at once; the last row of ``gram_rows`` counts for nothing.
+        order = sorted(self.grams, key=_codes_of)
+        self.gram_codes = np.array([_codes_of(g) for g in order], np.int64)
+        self.gram_rows = np.array([*(self.grams[g] for g in order), self.new_gram, (0.0,) * L]).reshape(len(order) + 2, L)
+        self.word_places = {w: k for k, w in enumerate(self.words)}
+        self.word_rows = np.array([*self.words.values(), (0.0,) * L]).reshape(len(self.words) + 1, L)
+        self.masks: dict[str, tuple[float, ...]] = {}
+
+    def mask(self, letter: str) -> tuple[float, ...]:
+        """0 for the languages that use the letter's script, else minus infinity."""
+        own = self.masks.get(letter)
+        if own is None:
+            fit = self.candidates.get(script_of(letter)) or range(len(self.langs))
+            own = self.masks[letter] = tuple(0.0 if k in fit else -math.inf for k in range(len(self.langs)))
+        return own
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words of letters, each less its best, at least -MOST."""
+        code = np.frombuffer("".join([f"^^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
+        grams = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
+        ends = np.cumsum([len(w) + 3 for w in words])
+        at = np.minimum(np.searchsorted(self.gram_codes, grams), max(0, len(self.gram_codes) - 1))
+        met = self.gram_codes[at] == grams if len(self.gram_codes) else np.zeros(len(grams), bool)
+        at = np.where(met, at, len(self.gram_codes))
+        for k in (2, 1):  # trigrams over the end of a word
+            at[(ends - k)[:-1]] = len(self.gram_codes) + 1
+        logs = np.add.reduceat(self.gram_rows[at], np.concatenate([[0], ends[:-1]]), axis=0)
+        place = np.array([self.word_places.get(w, -1) for w in words])
+        known = np.flatnonzero(place >= 0)
+        logs[known] = np.log(0.5 * np.exp(np.maximum(logs[known], -700)) + 0.5 * self.word_rows[place[known]])
+        logs += np.array([self.mask(w[0]) for w in words])
+        return np.maximum(logs - logs.max(axis=1, keepdims=True), -MOST)
+
+
+def _codes_of(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
 
 
 class Scorer(dict):
@@ -129,60 +156,71 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.used = model, 0
+        self.words: dict[str, int] = {}
+        self.new: list[tuple[int, str]] = []
         self.table = np.zeros((1024, len(model.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
     def __missing__(self, chunk: bytes) -> int:
-        word = chunk.lower().decode() if chunk.isalpha() else letters_of(chunk)
-        if self.used == len(self.letters):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        row = self.used
-        self.used += 1
-        if word:
-            self.table[row], self.letters[row] = self.model.score(word), len(word)
-        else:
-            self.table[row], self.letters[row] = 0, 0
+        core = chunk.rstrip(SIGNS)
+        word = core.lower().decode() if core.isalpha() else letters_of(chunk)
+        row = self.words.get(word)
+        if row is None:
+            row = self.words[word] = self.used
+            self.used += 1
+            if row == len(self.letters):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.table[row], self.letters[row] = 0, len(word)
+            if word:
+                self.new.append((row, word))
         self[chunk] = row
         return row
 
     def rows(self, chunks: list[bytes]) -> np.ndarray:
         if len(self) > CACHE:
             self.clear()
+            self.words.clear()
             self.used = 0
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        out = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if self.new:
+            self.table[[row for row, _ in self.new]] = self.model.score([word for _, word in self.new])
+            self.new = []
+        return out
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best path of labels, paying ``switch`` for each change; ties go to staying, then to the first."""
-    n, langs = scores.shape
-    back = np.zeros((n, langs), np.int32)
-    best = scores[0].astype(np.float64)
-    own = np.arange(langs)
-    for t in range(1, n):
-        top = int(best.argmax())
-        move = best[top] - switch > best
-        back[t] = np.where(move, top, own)
-        best = np.where(move, best[top] - switch, best) + scores[t]
-    path = np.empty(n, np.int64)
-    path[-1] = int(best.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    langs = range(scores.shape[1])
+    rows = scores.tolist()  # few languages: plain numbers are faster than small arrays
+    best, back = rows[0], []
+    for row in rows[1:]:
+        high = max(best)
+        least, top = high - switch, best.index(high)
+        back.append([k if best[k] >= least else top for k in langs])
+        best = [(b if b >= least else least) + s for b, s in zip(best, row, strict=True)]
+    at = best.index(max(best))
+    path = [at]
+    for moves in reversed(back):
+        at = moves[at]
+        path.append(at)
+    return np.array(path[::-1], np.int64)
 
 
 def label(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """``viterbi``; without the walk where one language must win throughout.
 
-    If no other language gains more than half a switch on the overall best over any stretch, then m
-    stretches of other languages gain at most m/2 switches, and cost m - 1 of them at least.
+    Any stretch of other languages gains, on the language that is best overall, at most the sum over it of
+    each word's best gain. A stretch costs a switch at least, unless it is one language throughout, which
+    gains nothing; so if no stretch's sum exceeds a switch, none pays.
     """
     best = int(scores.sum(axis=0, dtype=np.float64).argmax())
-    gains = np.zeros((len(scores) + 1, scores.shape[1]))
-    np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gains[1:])
-    if (gains - np.minimum.accumulate(gains, axis=0)).max() <= switch / 2:
-        return np.full(len(scores), best)
-    return viterbi(scores, switch)
+    others = np.delete(scores, best, axis=1)
+    if others.shape[1]:
+        gains = np.concatenate([[0.0], np.cumsum(others.max(axis=1).astype(np.float64) - scores[:, best])])
+        if (gains - np.minimum.accumulate(gains)).max() > switch:
+            return viterbi(scores, switch)
+    return np.full(len(scores), best)
 
 
 def identify_text(text: bytes, scorer: Scorer, switch: float = SWITCH):
