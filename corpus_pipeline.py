@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, mixing, packing, simhash
+from tidemark.llm import exact_dedup, langid, mixing, near_copies, packing
 from tidemark.llm._shared import documents, materialise
 
-#: At radius 3, near copies whose five-word shingles overlap by 0.8 are mostly missed; at 6, most are found.
-NEAR_RADIUS = 6
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language has half the letters, go."""
@@ -27,8 +24,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the row with the smallest id stays."""
-    return simhash.deduplicate(docs, radius=NEAR_RADIUS)
+    """Of near copies (five-word shingles that overlap by 0.8 or more), the row with the smallest id stays."""
+    return near_copies.deduplicate(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +45,7 @@ STAGES = [
     ("source_mix", source_mix),
     ("packed", packed),
 ]
-#: SimHash, language models and packing are beyond SQL.
+#: Shingle overlap, language models and packing are beyond SQL.
 ORACLE_SQL = None
 
 
