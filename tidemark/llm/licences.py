@@ -27,6 +27,8 @@ SENTENCES = {
     2: "licensed under the apache license version 2 0 the license",
     3: "you may not use this file except in compliance with the license",
     4: "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    7: "you may obtain a copy of the license at",
+    8: "http www apache org licenses license 2 0",
     5: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     6: "see the license for the specific language governing permissions and limitations under the license",
     10: "released under the mit license",
@@ -38,6 +40,14 @@ SENTENCES = {
     21: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     22: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     23: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    25: "this program is free software",
+    26: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    27: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    28: "either version 2 of the license or at your option any later version",
+    29: "this program is distributed in the hope that it will be useful but without any warranty",
+    35: "without even the implied warranty of merchantability or fitness for a particular purpose",
+    36: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    37: "either version 3 of the license or at your option any later version",
     24: "see the gnu general public license for more details",
     30: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     31: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
@@ -55,12 +65,18 @@ SENTENCES = {
 RULES = [
     ("apache-line", "Apache-2.0", [1]),
     ("apache-header", "Apache-2.0", [2, 3, 4, 5, 6]),
+    ("apache-header-plain", "Apache-2.0", [2, 3, 7, 8, 5, 6]),
     ("mit-line", "MIT", [10]),
     ("mit-line-licensed", "MIT", [11]),
     ("mit-text", "MIT", [12, 13, 14]),
     ("gpl3-line", "GPL-3.0", [20]),
     ("gpl3-header", "GPL-3.0-or-later", [21, 23, 24]),
     ("gpl2-header", "GPL-2.0-or-later", [22, 23, 24]),
+    # The headers as they are printed, cut at ';' and ':'; before "either" stands a comma or a semicolon.
+    ("gpl3-header-printed", "GPL-3.0-or-later", [25, 26, 29, 35, 24]),
+    ("gpl3-header-semicolon", "GPL-3.0-or-later", [25, 27, 37, 29, 35, 24]),
+    ("gpl2-header-printed", "GPL-2.0-or-later", [25, 27, 28, 29, 35, 24]),
+    ("gpl2-header-comma", "GPL-2.0-or-later", [25, 36, 29, 35, 24]),
     ("bsd2-text", "BSD-2-Clause", [30, 31, 32]),
     ("bsd3-text", "BSD-3-Clause", [30, 31, 32, 33]),
     ("isc-text", "ISC", [40]),
@@ -70,7 +86,7 @@ RULES = [
     ("cc-by-text", "CC-BY-4.0", [53]),
     ("unlicense-line", "Unlicense", [60]),
 ]
-ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "public domain"]
+ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "public domain", "software"]
 if not all(any(a in s for a in ANCHORS) for s in SENTENCES.values()):
     raise ValueError("a known sentence has no anchor")
 
