@@ -57,3 +57,11 @@ def test_every_rule_matches_its_sentences(spark, tmp_path):
     got = compare(spark, tmp_path, [". ".join(licences.SENTENCES[n] for n in ids) + "." for _, _, ids in licences.RULES])
     for r, (rule, licence, _) in zip(got, licences.RULES, strict=True):
         assert rule in r[3].split(",") and licence in r[4].split(",")
+
+
+def test_wrapped_anchor(spark, tmp_path):
+    """No anchor may span words: between them stand line ends, tabs, hyphens or comment signs."""
+    assert all(a.isalpha() for a in licences.ANCHORS)
+    parts = ["public\ndomain", "public  domain", "public\tdomain", "public-domain", "public\n# domain"]
+    got = compare(spark, tmp_path, [f"This is free and unencumbered software released into the {p}." for p in parts])
+    assert [r[4] for r in got] == ["Unlicense"] * len(parts)
