@@ -111,6 +111,21 @@ def search_form(t: Column) -> Column:
     return F.ltrim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "))
 
 
+def search_places(t: Column) -> Column:
+    """The place in a text (from 0) of each sign of its ``search_form``: letters and digits, and the first sign after each run of them."""
+    # One separator a run of letters and digits, so places are sums of run lengths.
+    runs = F.regexp_extract_all(t, F.lit("[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+
+    def step(s: Column, r: Column) -> Column:
+        skip = F.length(F.regexp_extract(r, "^[^\\p{L}\\p{N}]*", 0))
+        end = s["at"] + F.length(r)
+        return F.struct(end.alias("at"), F.array_append(s["spans"], F.struct((s["at"] + skip).alias("a"), end.alias("b"))).alias("spans"))
+
+    spans = F.aggregate(runs, start, step, lambda s: s["spans"])
+    return F.flatten(F.transform(spans, lambda r: F.sequence(r["a"], F.least(r["b"], F.length(t) - 1))))
+
+
 def words_hash(word_array: Column) -> Column:
     return F.substring(F.sha1(F.array_join(word_array, "\n").cast("binary")), 1, 16)
 

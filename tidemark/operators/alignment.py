@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numbers import round3
 
@@ -47,6 +48,19 @@ def match_words(heard: list[str], book: list[str], fuzzy: float = FUZZY) -> dict
     return found
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def block_places(typed: pd.Series, heard: pd.Series) -> pd.Series:
+    """For each typed word the place of the heard word in an equal block, -1 if none."""
+
+    def places(own, other):
+        found = [-1] * len(own)
+        for h, t, n in difflib.SequenceMatcher(None, list(other), list(own), autojunk=False).get_matching_blocks():
+            found[t : t + n] = range(h, h + n)
+        return found
+
+    return pd.Series([places(a, b) for a, b in zip(typed, heard, strict=True)])
+
+
 def matches(book: DataFrame, heard: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """``chapter_num, token_idx, heard_idx`` from ``book(chapter_num, token_idx, norm)`` and ``heard(chapter_num, heard_idx, norm)``."""
 
@@ -119,17 +133,27 @@ def report(words: DataFrame) -> DataFrame:
 
 
 def board_times(spans: DataFrame) -> DataFrame:
-    """Board times of ``spans(chapter_num, board_idx, s, e)`` in order: none starts before the last one's end, none is under half a second."""
-    ordered = F.array_sort(F.collect_list(F.struct("board_idx", "s", "e")))
-    zero = F.struct(F.array().cast("array<struct<board_idx:int,start_time:double,end_time:double>>").alias("out"), F.lit(0.0).alias("at"))
+    """Board times of ``spans(chapter_num, board_idx, s, e)`` in order: none starts before the last one's end, none is under half a second.
+
+    The ends e'(i) = max(e(i), s(i) + 0.5, e'(i-1) + 0.5) are a running maximum of what is left of each less 0.5 i.
+    """
+    order, least = Window.partitionBy("chapter_num").orderBy("board_idx"), F.lit(0.5)
+    n = F.row_number().over(order)
+    rows = spans.withColumn("n", n).withColumn("least_end", F.greatest(F.col("e"), F.greatest(F.col("s"), F.lit(0.0)) + least))
+    rows = rows.withColumn("end", F.max(F.col("least_end") - F.col("n") * least).over(order) + F.col("n") * least)
+    start = F.greatest(F.col("s"), F.coalesce(F.lag("end").over(order), F.lit(0.0)))
+    return rows.select("chapter_num", "board_idx", F.round(start, 3).alias("start_time"), F.round("end", 3).alias("end_time"))
+
+
+def snippets(heard: DataFrame, seconds: float = 45.0) -> DataFrame:
+    """What is heard in the first seconds of each recording, as one text."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "word"))), lambda x: x["word"])
+    return heard.filter(F.col("start") < seconds).groupBy("chapter_num").agg(F.array_join(said, " ").alias("snippet"))
 
-    def step(a, b):
-        start = F.greatest(b["s"], a["at"])
-        end = F.greatest(start + 0.5, b["e"])
-        return F.struct(F.array_append(a["out"], F.struct(b["board_idx"].alias("board_idx"), start.alias("start_time"), end.alias("end_time"))).alias("out"), end.alias("at"))
 
-    done = spans.groupBy("chapter_num").agg(F.aggregate(ordered, zero, step, lambda a: a["out"]).alias("out"))
-    return done.select("chapter_num", F.inline("out")).select("chapter_num", "board_idx", F.round("start_time", 3).alias("start_time"), F.round("end_time", 3).alias("end_time"))
+def flattened(segments: DataFrame) -> DataFrame:
+    """Words of ``segments(chapter_num, seg_id, words)`` one by one, in their order: word_idx, word, start, end."""
+    return segments.select("chapter_num", "seg_id", F.posexplode("words").alias("word_idx", "w")).select("chapter_num", "seg_id", "word_idx", "w.word", "w.start", "w.end")
 
 
 def spread(segments: DataFrame) -> DataFrame:

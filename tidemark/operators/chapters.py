@@ -1,20 +1,20 @@
-"""Finding chapters in a book: headings, their scores, and anchors of transcripts.
+"""Finding chapters in a book: headings and their scores.
 
 ``books``: book_id, text. Headings are found line by line, so offsets come from one running sum a book.
 """
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 
-# Ordinal stems with their numbers, tens, and suffixes.
-UNITS = "pierwsz drug trzec czwart piąt szóst siódm ósm dziewiąt dziesiąt jedenast dwunast trzynast czternast piętnast szesnast siedemnast osiemnast dziewiętnast".split()
+# Stems of the ordinals from 1 to 19, tens with their numbers, and suffixes.
+UNITS = [
+    "pierwsz", "drug", "trzec", "czwart", "piąt", "szóst", "siódm", "ósm", "dziewiąt", "dziesiąt", "jedenast", "dwunast", "trzynast", "czternast", "piętnast", "szesnast", "siedemnast", "osiemnast",
+    "dziewiętnast",
+]
 TENS = {"dwudziest": 20, "trzydziest": 30, "czterdziest": 40, "pięćdziesiąt": 50}
 SUFFIXES = "yiae"
 SPECIAL = "ostatni rozdział|ostatni rozdzial|rozdział ostatni|rozdzial ostatni|prolog|epilog|zakończenie|zakonczenie|posłowie|poslowie"
@@ -29,7 +29,7 @@ def ordinals() -> dict[str, int]:
 
 
 _ORDINAL = "|".join(sorted(ordinals(), key=len, reverse=True))
-#: Per pattern, a regular expression of one line with a number (group 1) and a title (group 2).
+# Per pattern, a regular expression of one line with a number (group 1) and a title (group 2).
 PATTERNS = [
     ("rozdzial_named", f"(?iu)^[ \\t]*(?:(?:rozdzia[łl]|cz[eę][śs][ćc]|ksi[eę]ga)[ \\t]+({_ORDINAL}|[IVXLC]+|\\d{{1,3}})|(?:{SPECIAL}))[ \\t]*[.:—–-]?[ \\t]*(.*)$"),
     ("chapter_named", "(?iu)^[ \\t]*chapter[ \\t]+([IVXLC]+|\\d{1,3})[ \\t]*[.:—–-]?[ \\t]*(.*)$"),
@@ -120,28 +120,3 @@ def saved_map(entries: DataFrame, books: DataFrame) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("text_start", "nth")))
     again = F.row_number().over(Window.partitionBy("book_id", "chapter_num").orderBy("place")) > 1
     return rows.withColumn("again", again).select("book_id", "place", F.when(F.col("again"), F.col("place")).otherwise(F.col("chapter_num")).alias("chapter_num"), "text_start", "text_end")
-
-
-def anchors(books: DataFrame, snippets: DataFrame, seed_words: int = 5) -> DataFrame:
-    """Where ``snippets(snippet_id, text)`` stand in ``books``: book_id, snippet_id, word_place, confidence.
-
-    Candidates are places where five words of a snippet (at its words 0, 2, 4, 6, 9, 12) stand in a book, found
-    by a hash join; only those are compared in Python, and the best place of each pair counts.
-    """
-    ws = lambda c: F.filter(F.split(X.search_form(F.col(c)), " "), lambda w: w != "")
-    gram = lambda a, k: F.array_join(F.slice(a, k + 1, F.lit(seed_words)), " ")
-    b = books.select("book_id", ws("text").alias("bw"))
-    grams = b.select("book_id", F.explode(F.when(F.size("bw") >= seed_words, F.transform(F.sequence(F.lit(0), F.size("bw") - seed_words), lambda k: F.struct(k.alias("at"), gram(F.col("bw"), k).alias("g"))))).alias("x")).select("book_id", "x.at", F.xxhash64("x.g").alias("h"), "x.g")
-    s = snippets.select("snippet_id", ws("text").alias("sw")).filter((F.size("sw") >= 4) & (F.length(F.array_join("sw", " ")) >= 20))
-    offsets = F.filter(F.array(*map(F.lit, (0, 2, 4, 6, 9, 12))), lambda k: k + seed_words <= F.size("sw"))
-    seeds = s.select("snippet_id", "sw", F.explode(offsets).alias("offset")).withColumn("g", gram(F.col("sw"), F.col("offset"))).filter(F.length("g") >= 12).withColumn("h", F.xxhash64("g"))
-    near = seeds.join(grams, ["h", "g"]).select("snippet_id", "book_id", "offset", "at", F.array_join(F.slice("sw", F.col("offset") + 1, F.size("sw")), " ").alias("tail"), F.size("sw").alias("n"))
-    windows = near.join(b, "book_id").select("snippet_id", "book_id", "offset", "at", "tail", F.array_join(F.slice("bw", F.col("at") + 1, F.col("n") + 20), " ").alias("window"))
-
-    @F.pandas_udf("double")
-    def ratio(tail: pd.Series, window: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, t, w[: len(t) + 80]).ratio() for t, w in zip(tail, window, strict=True)])
-
-    scored = windows.withColumn("score", ratio("tail", "window"))
-    best = scored.groupBy("snippet_id", "book_id").agg(F.max_by(F.struct("at", "score"), F.struct("score", -F.col("offset"), -F.col("at"))).alias("b"))
-    return best.select("book_id", "snippet_id", F.col("b.at").alias("word_place"), F.round("b.score", 3).alias("confidence"))

@@ -6,8 +6,11 @@ folds over its sentences carry line counts, never the text wrapped so far.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as X
 
@@ -32,65 +35,91 @@ def blocks(chapters: DataFrame, width: int = X.MAX_CHARS) -> DataFrame:
     )
 
 
-def packed_sentences(found: Column, most: int, width: int) -> Column:
-    """Sentences joined greedily into texts of at most ``most`` lines; a longer sentence stands alone."""
-    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("own"), F.lit(0).alias("lines"), F.lit(0).alias("used"))
-
-    sized = F.transform(found, lambda s: F.struct(s.alias("text"), X.lengths(s).alias("sizes")))
-
-    def step(a: Column, s: Column) -> Column:
-        # Behind a space the first word goes on in the same line, so the first line break is left out.
-        more = X.wrap(F.struct(a["lines"].alias("lines"), a["used"].alias("used")), F.slice(s["sizes"], F.lit(2), F.size(s["sizes"])), width)
-        fits = lambda m: (a["own"] != "") & (m["lines"] <= most)
-
-        def joined(m: Column) -> Column:
-            return F.struct(a["done"].alias("done"), F.concat(a["own"], F.lit(" "), s["text"]).alias("own"), m["lines"].alias("lines"), m["used"].alias("used"))
-
-        def apart(m: Column) -> Column:
-            done = F.when(a["own"] == "", a["done"]).otherwise(F.array_append(a["done"], a["own"]))
-            return F.struct(done.alias("done"), s["text"].alias("own"), m["lines"].alias("lines"), m["used"].alias("used"))
-
-        anew = X.let(X.wrap(X.fresh(), s["sizes"], width), apart)
-        return X.let(more, lambda m: F.when(fits(m), joined(m)).otherwise(anew))
-
-    return F.aggregate(sized, none, step, lambda a: F.when(a["own"] == "", a["done"]).otherwise(F.array_append(a["done"], a["own"])))
-
-
-def board_array(t: Column, most: int = X.MAX_LINES, width: int = X.MAX_CHARS) -> Column:
-    """Boards of a chapter's text, in order: (text, lines, dialogue, open)."""
-    piece = lambda text, dialogue, whole: F.struct(
-        text.alias("text"), X.line_count(text, width).alias("lines"), dialogue.alias("dialogue"), (dialogue & whole).alias("open")
-    )
-
-    def cut(b: Column) -> Column:
-        said, fits = X.is_dialogue(b), X.line_count(b, width) <= most
-        long = X.let(said, lambda d: F.transform(packed_sentences(X.sentences(b), most, width), lambda s: piece(s, d, F.lit(False))))
-        return F.when(fits, F.array(piece(b, said, F.lit(True)))).otherwise(long)
-
-    pieces = F.flatten(F.transform(block_texts(t), cut))
-    empty = F.array().cast("array<struct<text:string,lines:int,dialogue:boolean,open:boolean>>")
-
-    def merge(boards: Column, p: Column) -> Column:
-        last = F.try_element_at(boards, F.lit(-1))
-        joins = F.coalesce(last["open"] & p["open"] & (last["lines"] + p["lines"] <= most), F.lit(False))
-        joined = F.struct(
-            F.concat(last["text"], F.lit("\n"), p["text"]).alias("text"), (last["lines"] + p["lines"]).alias("lines"), F.lit(True).alias("dialogue"), F.lit(True).alias("open")
-        )
-        return F.when(joins, F.array_append(F.slice(boards, F.lit(1), F.size(boards) - 1), joined)).otherwise(F.array_append(boards, p))
-
-    return F.aggregate(pieces, empty, merge)
+class Lines:
+    """Greedy wrapping of words to ``width``: how many lines there are, and how much of the last one is used."""
+
+    def __init__(self, width: int, lines: int = 0, used: int = 0):
+        self.width, self.lines, self.used = width, lines, used
+
+    def more(self, text: str, goes_on: bool = False) -> Lines:
+        """After ``text`` as well; its first paragraph goes on in the last line if it ``goes_on`` behind a space."""
+        lines, used = self.lines, self.used
+        for k, paragraph in enumerate(text.split("\n")):
+            if k or not goes_on:
+                used = 0
+            for n in map(len, paragraph.split()):
+                if 0 < used and used + 1 + n <= self.width:
+                    used += 1 + n
+                else:
+                    lines, used = lines + 1, n
+        return Lines(self.width, lines, used)
+
+
+def packed_sentences(sentences: list[str], most: int, width: int) -> list[tuple[str, int]]:
+    """(text, lines): sentences joined greedily into texts of at most ``most`` lines; a longer sentence stands alone."""
+    out, own, state = [], [], Lines(width)
+    for s in sentences:
+        longer = state.more(s, True)
+        if own and longer.lines <= most:
+            own.append(s)
+            state = longer
+            continue
+        if own:
+            out.append((" ".join(own), state.lines))
+        own, state = [s], Lines(width).more(s)
+    return [*out, (" ".join(own), state.lines)] if own else out
+
+
+def boards_of_blocks(blocks, most: int, width: int) -> list[dict]:
+    """Boards of a chapter's blocks (text, said, sentences): those that are too long by sentences, short dialogue together."""
+    out: list[dict] = []
+    for b in blocks:
+        lines = Lines(width).more(b["text"]).lines
+        if lines > most:
+            out += [{"text": t, "lines": n, "dialogue": b["said"], "open": False} for t, n in packed_sentences(list(b["sentences"]), most, width)]
+        elif b["said"] and out and out[-1]["open"] and out[-1]["lines"] + lines <= most:
+            out[-1] = {**out[-1], "text": out[-1]["text"] + "\n" + b["text"], "lines": out[-1]["lines"] + lines}
+        else:
+            out.append({"text": b["text"], "lines": lines, "dialogue": b["said"], "open": b["said"]})
+    return out
+
+
+def packed_boards(chapters: DataFrame, most: int = X.MAX_LINES, width: int = X.MAX_CHARS) -> DataFrame:
+    """Boards of each chapter's text: the chapter's keys, at (from 0), text, lines, dialogue.
+
+    Cutting into blocks and sentences stays in the JVM; packing is one Python pass over a batch of chapters, as each board
+    depends on the one before.
+    """
+    kind = pa.struct([("text", pa.string()), ("lines", pa.int32()), ("dialogue", pa.bool_()), ("open", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [boards_of_blocks(blocks, most, width) for blocks in part.column(2).to_pylist()]
+                owners = pa.array(np.repeat(np.arange(len(found)), [len(b) for b in found]))
+                places = pa.array(np.concatenate([np.arange(len(b)) for b in found]).astype(np.int32))
+                flat = pa.array([b for own in found for b in own], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owners), part.column(1).take(owners), places, *flat.flatten()[:3]], names=[*KEYS, "at", "text", "lines", "dialogue"])
+
+    # A block of no more characters than lines fits in any case.
+    parts = lambda b: F.when(F.length(b) > most, X.sentences(b)).otherwise(F.array().cast("array<string>"))
+    blocks = F.transform(block_texts(F.col("text")), lambda b: F.struct(b.alias("text"), X.is_dialogue(b).alias("said"), parts(b).alias("sentences")))
+    rows = chapters.select(*KEYS, blocks.alias("blocks"))
+    out = [("at", T.IntegerType()), ("text", T.StringType()), ("lines", T.IntegerType()), ("dialogue", T.BooleanType())]
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in KEYS), *(T.StructField(*x) for x in out)]))
 
 
 def boards(chapters: DataFrame, most: int = X.MAX_LINES, width: int = X.MAX_CHARS) -> DataFrame:
     """The initial boards: book_id, chapter_num, chunk_id, text, chunk_type, lines_count, n_words."""
-    rows = chapters.select(*KEYS, F.posexplode(board_array(F.col("text"), most, width)).alias("at", "b"))
+    rows = packed_boards(chapters, most, width)
     return rows.select(
         *KEYS,
         (F.col("at") + 1).alias("chunk_id"),
-        F.col("b.text").alias("text"),
-        F.when(F.col("b.dialogue"), "dialogue").otherwise("narration").alias("chunk_type"),
-        F.col("b.lines").alias("lines_count"),
-        F.size(X.words(F.col("b.text"))).alias("n_words"),
+        "text",
+        F.when(F.col("dialogue"), "dialogue").otherwise("narration").alias("chunk_type"),
+        F.col("lines").alias("lines_count"),
+        F.size(X.words(F.col("text"))).alias("n_words"),
     )
 
 
@@ -137,16 +166,23 @@ def token_hashes(token_rows: DataFrame) -> DataFrame:
 
 def proposed_layout(chapters: DataFrame, most: int = X.MAX_LINES, width: int = X.MAX_CHARS) -> DataFrame:
     """``breaks``: token indexes where boards after the first start; ``token_count``."""
-    sizes = F.transform(board_array(F.col("text"), most, width), lambda b: F.size(X.words(b["text"])))
-    running = F.aggregate(
-        "sizes", F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
-        lambda a, n: F.struct(F.array_append(a["at"], a["n"] + n).alias("at"), (a["n"] + n).alias("n")),
-    )
-    return chapters.select(*KEYS, sizes.alias("sizes")).select(*KEYS, running.alias("r")).select(
-        *KEYS, F.slice("r.at", F.lit(1), F.greatest(F.lit(0), F.size("r.at") - 1)).alias("breaks"), F.col("r.n").alias("token_count")
+    rows = boards(chapters, most, width)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", F.col("ends").cast("int").alias("ends"))))
+    order = Window.partitionBy(*KEYS).orderBy("chunk_id")
+    per = rows.withColumn("ends", F.sum("n_words").over(order)).groupBy(*KEYS).agg(F.transform(ordered, lambda x: x["ends"]).alias("ends"))
+    ends = F.coalesce("ends", F.array().cast("array<int>"))
+    return chapters.select(*KEYS).join(per, KEYS, "left").select(
+        *KEYS, F.slice(ends, F.lit(1), F.greatest(F.lit(0), F.size(ends) - 1)).alias("breaks"), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)).alias("token_count")
     )
 
 
+def layout_gaps(chapters: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Chapters whose proposed layout has another number of words than the chapter has tokens; there should be none."""
+    n = tokens(chapters).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("tokens"))
+    both = layouts.select(*KEYS, "token_count").join(n, KEYS, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    return both.filter(F.col("tokens") != F.col("token_count"))
+
+
 def legacy_chapters(books: DataFrame) -> DataFrame:
     """``book_id, text`` -> chapters by lines that begin with ``Rozdział`` and a Roman number; bodies up to the next."""
     heading = "(?iu)^\\s*rozdzia[łl]\\s+([ivxlc]+)\\b\\.?\\s*(.*)$"

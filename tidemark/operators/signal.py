@@ -1,7 +1,7 @@
 """Loudness envelopes, silences, and the questions asked of them.
 
 Signals are rows ``chapter_num, samples``; envelopes are long tables ``chapter_num, frame_idx, rms``. Runs of
-quiet frames are islands; whatever looks along the frames from some place is a join with them.
+quiet frames are islands; whatever looks along the frames from some place meets the islands near it.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import round3
+from tidemark.operators.intervals import last_before, meeting, next_after
+
 # Fixed values.
 SEARCH, MIN_SILENCE, PROBE, SAFE = 0.70, 0.10, 0.6, 0.08
 HEAD_PAD, TAIL_PAD = 0.25, 0.35
@@ -57,9 +60,8 @@ def probed(points: DataFrame, islands: DataFrame, stats: DataFrame, hop_s: float
     """``points(chapter_num, point_id, t)`` with quiet_before, quiet_after and safety, in seconds."""
     most = round(probe / hop_s)
     at = points.join(stats.select("chapter_num", "n_frames"), "chapter_num").withColumn("f", frame_at(F.col("t"), hop_s, F.col("n_frames")))
-    near = at.join(islands, "chapter_num", "left").filter(
-        F.col("first_frame").isNull() | ((F.col("first_frame") <= F.col("f")) & (F.col("end_frame") >= F.col("f")))
-    )
+    f = F.col("f")
+    near = meeting(at, islands, (f, f), (F.col("first_frame"), F.col("end_frame")), 4 * most).filter((F.col("first_frame") <= f) & (F.col("end_frame") >= f))
     runs = near.groupBy("chapter_num", "point_id").agg(
         F.max(F.when(F.col("first_frame") < F.col("f"), F.least(F.lit(most), F.col("f") - F.col("first_frame")))).alias("b"),
         F.max(F.when(F.col("end_frame") > F.col("f"), F.least(F.lit(most), F.col("end_frame") - F.col("f")))).alias("a"),
@@ -74,9 +76,8 @@ def reached(points: DataFrame, islands: DataFrame, stats: DataFrame, hop_s: floa
     """How far a place can move to take in the silence beside it; 0 if none begins within the limit."""
     most = round(limit / hop_s)
     at = points.join(stats.select("chapter_num", "n_frames"), "chapter_num").withColumn("f", frame_at(F.col("t"), hop_s, F.col("n_frames")))
-    side = F.col("end_frame") > F.col("f") if forward else F.col("first_frame") < F.col("f")
-    pick = F.min(F.struct("first_frame", "end_frame")) if forward else F.max(F.struct("first_frame", "end_frame"))
-    own = at.join(islands, "chapter_num").filter(side).groupBy("chapter_num", "point_id", "f").agg(pick.alias("i"))
+    look, edge = (next_after, "end_frame") if forward else (last_before, "first_frame")
+    own = look(at, "f", islands, edge, F.struct("first_frame", "end_frame"), "i")
     if forward:
         steps = F.when(F.col("i.first_frame") - F.col("f") < most, F.least(F.lit(most), F.col("i.end_frame") - F.col("f")))
     else:
@@ -95,14 +96,15 @@ def snapped(gaps: DataFrame, silence_rows: DataFrame, durations: DataFrame, sear
     own = own.withColumn("lo", F.greatest(F.lit(0.0), F.least(F.col("t_end"), F.col("mid")) - search)).withColumn(
         "hi", F.least(F.col("duration"), F.greatest(F.col("t_start"), F.col("mid")) + search)
     )
-    near = own.join(silence_rows.withColumnRenamed("start", "s").withColumnRenamed("end", "e"), "chapter_num").filter((F.col("e") > F.col("lo")) & (F.col("s") < F.col("hi")))
+    quiet = silence_rows.withColumnRenamed("start", "s").withColumnRenamed("end", "e")
+    near = meeting(own, quiet, (F.col("lo"), F.col("hi")), (F.col("s"), F.col("e")), 4 * search).filter((F.col("e") > F.col("lo")) & (F.col("s") < F.col("hi")))
     cut = (
         near.withColumn("s0", F.greatest("s", "lo")).withColumn("s1", F.least("e", "hi")).withColumn("span", F.col("s1") - F.col("s0"))
         .filter(F.col("span") >= least).withColumn("at", F.col("s0") + F.lit(bias) * F.col("span"))
         .withColumn("score", F.least("span", F.lit(0.5)) / 0.5 - F.lit(0.8) * F.abs(F.col("at") - F.col("mid")) / max(search, 1e-6))
         .groupBy("chapter_num", "point_id").agg(F.max_by(F.struct("at", "score", "s0", "s1"), F.struct("score", -F.col("s"))).alias("b"))
     )
-    r3 = lambda c: F.round(c, 3)
+    r3 = round3
     return gaps.join(cut, ["chapter_num", "point_id"], "left").select(
         *gaps.columns,
         r3(F.coalesce(F.col("b.at"), mid)).alias("cut"),
@@ -113,6 +115,17 @@ def snapped(gaps: DataFrame, silence_rows: DataFrame, durations: DataFrame, sear
     )
 
 
+def edge_cuts(heads: DataFrame, tails: DataFrame, islands: DataFrame, stats: DataFrame, hop_s: float) -> DataFrame:
+    """``edge``: where the first word's ``t`` (heads) and the last word's (tails) move to take in the silence beside them.
+
+    ``stats``: chapter_num, n_frames, duration; an edge stays within the recording.
+    """
+    head = reached(heads, islands, stats, hop_s, HEAD_PAD, False).withColumn("edge", F.round(F.greatest(F.lit(0.0), F.col("t") - F.col("reach")), 3))
+    tail = reached(tails, islands, stats, hop_s, TAIL_PAD, True).join(stats.select("chapter_num", "duration"), "chapter_num")
+    tail = tail.withColumn("edge", F.round(F.least("duration", F.col("t") + F.col("reach")), 3))
+    return head.select("chapter_num", "point_id", "edge").unionByName(tail.select("chapter_num", "point_id", "edge"))
+
+
 def peaks(signals: DataFrame, bucket: int) -> DataFrame:
     """Least and greatest sample of whole buckets, as signed bytes."""
     n = F.floor(F.size("samples") / bucket).cast("int")

@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.numbers import round3
+from tidemark.operators import alignment as A
 from tidemark.operators import signal as G
+from tidemark.operators.intervals import meeting
+from tidemark.sources.scratch import materialise
 
 # Fixed values.
-LEAST_BOARD, MARGIN, HEARD_MARGIN, END_KEY = 0.20, 0.05, 0.1, "end"
+LEAST_BOARD, MARGIN, HEARD_MARGIN, END_KEY, LEAST_FILL = 0.20, 0.05, 0.1, "end", 0.02
+#: Seconds of a stretch in which utterances are looked up.
+STRETCH = 30.0
 
 
 def bounds(layouts: DataFrame) -> DataFrame:
@@ -27,40 +33,68 @@ def bounds(layouts: DataFrame) -> DataFrame:
 def heard(spans: DataFrame, segments: DataFrame) -> DataFrame:
     """``spans(chapter_num, span_id, start, end)`` with the text of the segments that overlap each by over 0.1 s."""
     s = segments.select("chapter_num", F.col("seg_id"), F.col("start").alias("s"), F.col("end").alias("e"), X.strip(F.col("text")).alias("said"))
-    met = spans.join(s, "chapter_num").filter((F.col("e") > F.col("start") + HEARD_MARGIN) & (F.col("s") < F.col("end") - HEARD_MARGIN) & (F.col("said") != ""))
+    met = meeting(spans, s, (F.col("start"), F.col("end")), (F.col("s"), F.col("e")), STRETCH)
+    met = met.filter((F.col("e") > F.col("start") + HEARD_MARGIN) & (F.col("s") < F.col("end") - HEARD_MARGIN) & (F.col("said") != ""))
     text = met.groupBy("chapter_num", "span_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "said"))).alias("parts"))
     joined = text.select("chapter_num", "span_id", F.array_join(F.transform("parts", lambda p: p["said"]), " ").alias("heard"))
     return spans.join(joined, ["chapter_num", "span_id"], "left").withColumn("heard", F.coalesce("heard", F.lit("")))
 
 
-def insert_units(inserts: DataFrame) -> DataFrame:
-    """Boards of inserts (chapter_num, anchor, start_time, end_time, heard, text, edited, typed, breaks).
-
-    Of several inserts at one anchor the last (by ``nth``) counts. Word times are spread evenly over the span.
-    """
+def insert_texts(inserts: DataFrame) -> DataFrame:
+    """The insert that counts at each anchor (the last by ``nth``), with its text ``full`` and words ``ws``."""
     last = Window.partitionBy("chapter_num", "anchor").orderBy(F.col("nth").desc())
     own = inserts.withColumn("rank", F.row_number().over(last)).filter("rank = 1").drop("rank")
     raw = F.when(F.col("edited"), F.col("typed")).otherwise(F.col("text"))
     text = F.coalesce(raw, X.heard_board(F.col("heard")))
     text = F.when((X.without_marker(text) == "") & (F.coalesce("heard", F.lit("")) != ""), X.heard_board(F.col("heard"))).otherwise(text)
-    own = own.withColumn("full", text).withColumn("ws", X.words(X.without_marker(F.col("full")))).withColumn("n", F.size("ws"))
-    inner = F.array_sort(F.array_distinct(F.filter(F.coalesce("breaks", F.array().cast("array<int>")), lambda b: (b > 0) & (b < F.col("n")))))
-    ends = F.concat(F.array(F.lit(0)), inner, F.array("n"))
-    rows = own.withColumn("ends", ends).select("*", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("board", "lo"))
-    hi, step = F.get("ends", F.col("board") + 1), (F.col("end_time") - F.col("start_time")) / F.greatest(F.col("n"), F.lit(1))
-    piece = F.array_join(F.slice("ws", F.col("lo") + 1, hi - F.col("lo")), " ")
-    piece = F.when(F.col("board") == F.size("ends") - 2, F.concat(piece, F.lit("\n" + X.NO_SOURCE))).otherwise(piece)
-    empty = F.col("n") == 0
+    return own.withColumn("full", text).withColumn("ws", X.words(X.without_marker(F.col("full")))).withColumn("n", F.size("ws"))
+
+
+def insert_words(own: DataFrame) -> DataFrame:
+    """Words of ``insert_texts`` with times: chapter_num, anchor, k, word, start, end.
+
+    Typed and heard words (``words``, with s and e) are aligned; those of equal blocks take the heard word's time, and
+    those between two such share what lies between, 0.02 s each at least. Where nothing was heard or nothing fits, all
+    share the insert's span.
+    """
+    norm = lambda ws: F.transform(ws, X.normal_word)
+    heard = F.coalesce("words", F.array().cast(own.schema["words"].dataType))
+    pairs = own.withColumn("hw", heard).withColumn("at", A.block_places(norm(F.col("ws")), norm(F.transform("hw", lambda w: w["w"]))))
+    rows = pairs.select("chapter_num", "anchor", "start_time", "end_time", "n", "hw", "at", F.posexplode("ws").alias("k", "word")).withColumn("m", F.get("at", F.col("k")))
+    rows = rows.withColumn("hit", F.when(F.col("m") >= 0, F.get("hw", F.col("m")))).drop("hw", "at")
+    order = Window.partitionBy("chapter_num", "anchor").orderBy("k")
+    hit = F.when(F.col("hit").isNotNull(), F.struct("k", F.col("hit.s").alias("s"), F.col("hit.e").alias("e")))
+    rows = rows.withColumn("p", F.last(hit, True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("q", F.first(hit, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    first, stop = F.coalesce(F.col("p.k"), F.lit(-1)), F.coalesce(F.col("q.k"), F.col("n"))
+    begin, until = F.coalesce(F.col("p.e"), F.col("start_time")), F.coalesce(F.col("q.s"), F.col("end_time"))
+    none = F.col("p").isNull() & F.col("q").isNull()
+    count = stop - first - 1
+    step = F.when(none, (F.col("end_time") - F.col("start_time")) / F.col("n")).otherwise(F.greatest(F.lit(LEAST_FILL), (until - begin) / (count + 1)))
+    at = begin + (F.col("k") - first - 1) * step
+    end = F.when(none, F.col("start_time") + (F.col("k") + 1) * step).otherwise(at + step)
     return rows.select(
-        "chapter_num",
-        "anchor",
-        F.col("board").alias("insert_board"),
-        F.concat(F.lit("i"), "anchor", F.lit("."), "board").alias("cut_key"),
-        F.when(empty, F.col("full")).otherwise(piece).alias("text"),
-        "edited",
-        F.when(empty, F.col("start_time")).otherwise(F.round(F.col("start_time") + F.col("lo") * step, 3)).alias("first_start"),
-        F.when(empty, F.col("end_time")).otherwise(F.round(F.col("start_time") + hi * step, 3)).alias("last_end"),
+        "chapter_num", "anchor", "k", "word", F.coalesce(F.col("hit.s"), round3(at)).alias("start"), F.coalesce(F.col("hit.e"), round3(end)).alias("end")
+    )
+
+
+def insert_units(inserts: DataFrame) -> DataFrame:
+    """Boards of inserts (chapter_num, anchor, nth, start_time, end_time, heard, text, edited, typed, breaks, words).
+
+    Of several inserts at one anchor the last (by ``nth``) counts. An insert without words is one board of its whole span.
+    """
+    own = insert_texts(inserts)
+    inner = F.array_sort(F.array_distinct(F.filter(F.coalesce("breaks", F.array().cast("array<int>")), lambda b: (b > 0) & (b < F.col("n")))))
+    own = own.withColumn("inner", inner)
+    said = insert_words(own.filter("n > 0")).join(own.select("chapter_num", "anchor", "inner", "edited"), ["chapter_num", "anchor"])
+    said = said.withColumn("insert_board", F.size(F.filter("inner", lambda b: b <= F.col("k"))))
+    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ")
+    boards = said.groupBy("chapter_num", "anchor", "insert_board").agg(
+        piece.alias("piece"), F.first("edited").alias("edited"), F.size(F.first("inner")).alias("last"), F.min_by("start", "k").alias("first_start"), F.max_by("end", "k").alias("last_end")
     )
+    boards = boards.withColumn("text", F.when(F.col("insert_board") == F.col("last"), F.concat("piece", F.lit("\n" + X.NO_SOURCE))).otherwise(F.col("piece")))
+    silent = own.filter("n = 0").select("chapter_num", "anchor", F.lit(0).alias("insert_board"), F.col("full").alias("text"), "edited", F.col("start_time").alias("first_start"), F.col("end_time").alias("last_end"))
+    rows = boards.select(silent.columns).unionByName(silent)
+    return rows.select("chapter_num", "anchor", "insert_board", F.concat(F.lit("i"), "anchor", F.lit("."), "insert_board").alias("cut_key"), "text", "edited", "first_start", "last_end")
 
 
 def units(boards: DataFrame, inserts: DataFrame, corrections: DataFrame, token_counts: DataFrame) -> DataFrame:
@@ -109,12 +143,11 @@ def cuts(unit_rows: DataFrame, islands: DataFrame, stats: DataFrame, silence_row
     )
     points = opening.unionByName(closing).join(stats.select("chapter_num", "duration"), "chapter_num")
     points = points.join(overrides, ["chapter_num", "key"], "left").withColumn("is_first", F.col("idx") == 0)
+    points = materialise(points, "points")  # asked several questions each; written tables keep plans small
     ident = lambda rows, t: rows.select("chapter_num", F.col("idx").alias("point_id"), t.alias("t"))
     manual = F.col("manual").isNotNull()
-    head = G.reached(ident(points.filter(F.col("is_first") & ~manual), F.col("word_start")), islands, stats, hop_s, G.HEAD_PAD, False)
-    tail = G.reached(ident(points.filter(F.col("is_last") & ~manual), F.col("word_end")), islands, stats, hop_s, G.TAIL_PAD, True)
-    edges = head.select("chapter_num", "point_id", F.round(F.greatest(F.lit(0.0), F.col("t") - F.col("reach")), 3).alias("edge")).unionByName(
-        tail.join(stats.select("chapter_num", "duration"), "chapter_num").select("chapter_num", "point_id", F.round(F.least("duration", F.col("t") + F.col("reach")), 3).alias("edge"))
+    edges = G.edge_cuts(
+        ident(points.filter(F.col("is_first") & ~manual), F.col("word_start")), ident(points.filter(F.col("is_last") & ~manual), F.col("word_end")), islands, stats, hop_s
     )
     inner = points.filter(~F.col("is_first") & ~F.col("is_last") & ~manual).select("chapter_num", F.col("idx").alias("point_id"), F.col("word_end").alias("t_end"), F.col("word_start").alias("t_start"))
     snap = G.snapped(inner, silence_rows, stats, search, least).drop("t_end", "t_start").withColumnRenamed("confidence", "snap_confidence")
@@ -127,12 +160,14 @@ def cuts(unit_rows: DataFrame, islands: DataFrame, stats: DataFrame, silence_row
         F.coalesce("silence_start", F.lit(0.0)).alias("silence_start"), F.coalesce("silence_end", F.lit(0.0)).alias("silence_end"),
         F.coalesce("word_end", F.lit(0.0)).alias("word_end"), F.coalesce("word_start", "duration").alias("word_start"),
     )
+    timed = materialise(timed, "timed")
     safe = G.probed(timed.select("chapter_num", "point_id", "t"), islands, stats, hop_s).select("chapter_num", "point_id", "safety")
     own = Window.partitionBy("chapter_num").orderBy("point_id")
     placed = timed.join(safe, ["chapter_num", "point_id"]).withColumn("time", in_order(F.col("t"), F.col("point_id"), F.col("duration"), own))
+    placed = materialise(placed, "placed")
     s = segments.select("chapter_num", F.col("seg_id"), F.col("start").alias("s"), F.col("end").alias("e"), X.strip(F.col("text")).alias("said"))
     broken = (
-        placed.filter(~F.col("is_first") & ~F.col("is_last")).join(s, "chapter_num")
+        meeting(placed.filter(~F.col("is_first") & ~F.col("is_last")), s, (F.col("time"), F.col("time")), (F.col("s"), F.col("e")), STRETCH)
         .filter((F.col("s") + MARGIN < F.col("time")) & (F.col("time") < F.col("e") - MARGIN))
         .groupBy("chapter_num", "point_id").agg(F.min_by("said", "seg_id").alias("segment_text"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.intervals import meeting, next_after
 
 KEYS = ["book_id", "chapter_num"]
 
@@ -72,12 +73,21 @@ def unreviewed(boards: DataFrame, reviews: DataFrame) -> DataFrame:
     return boards.join(by_key, ["chapter_num", "cut_key"], "left_anti").join(by_number, ["chapter_num", "chunk_id"], "left_anti")
 
 
-def sample(boards: DataFrame, seed: int = 1) -> DataFrame:
-    """One board of each book in an order of hashes, with its neighbours' numbers (-1: none)."""
-    around = Window.partitionBy(*KEYS).orderBy("chunk_id")
-    draw = Window.partitionBy("book_id").orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), "chapter_num", "chunk_id").cast("binary")))
-    rows = boards.withColumn("previous", F.coalesce(F.lag("chunk_id").over(around), F.lit(-1))).withColumn("next", F.coalesce(F.lead("chunk_id").over(around), F.lit(-1)))
-    return rows.withColumn("rank", F.row_number().over(draw)).filter("rank = 1").drop("rank")
+def sample(boards: DataFrame, seed: int = 1, reviews: DataFrame | None = None) -> DataFrame:
+    """One board of each book, the first in an order of hashes, with its neighbours' numbers (-1: none).
+
+    With ``reviews`` a board not yet reviewed is drawn, if the book has one. Draws are sums in each task; only the drawn
+    chapters are looked at again for neighbours.
+    """
+    ticket = F.sha1(F.concat_ws(":", F.lit(str(seed)), "chapter_num", "chunk_id").cast("binary"))
+    rows = boards.withColumn("seen", F.lit(0))
+    if reviews is not None:
+        fresh = unreviewed(boards, reviews).select(*KEYS, "chunk_id", F.lit(0).alias("seen"))
+        rows = boards.join(fresh, [*KEYS, "chunk_id"], "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
+    drawn = rows.groupBy("book_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "book_id")), F.struct("seen", ticket)).alias("b")).select("book_id", "b.*").drop("seen")
+    other = drawn.select(*KEYS, F.col("chunk_id").alias("own")).join(boards.select(*KEYS, "chunk_id"), KEYS)
+    around = other.groupBy(*KEYS).agg(F.max(F.when(F.col("chunk_id") < F.col("own"), F.col("chunk_id"))).alias("p"), F.min(F.when(F.col("chunk_id") > F.col("own"), F.col("chunk_id"))).alias("n"))
+    return drawn.join(around, KEYS).withColumn("previous", F.coalesce("p", F.lit(-1))).withColumn("next", F.coalesce("n", F.lit(-1))).drop("p", "n")
 
 
 def overview(boards: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -87,10 +97,19 @@ def overview(boards: DataFrame, reviews: DataFrame) -> DataFrame:
     return per.join(seen, "chapter_num", "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(0)))
 
 
-def at_times(boards: DataFrame, times: DataFrame) -> DataFrame:
+def at_times(boards: DataFrame, times: DataFrame, width: float = 60.0) -> DataFrame:
     """The board that holds each time (chapter_num, time_id, t), else the next one, else the last."""
-    met = times.join(boards.select("chapter_num", "chunk_id", "start_time", "end_time"), "chapter_num")
-    inside = (F.col("start_time") <= F.col("t")) & (F.col("t") < F.col("end_time"))
-    return met.groupBy("chapter_num", "time_id", "t").agg(
-        F.coalesce(F.min(F.when(inside, F.col("chunk_id"))), F.min_by("chunk_id", F.when(F.col("start_time") > F.col("t"), F.col("start_time"))), F.max("chunk_id")).alias("chunk_id")
-    )
+    b, t = boards.select("chapter_num", "chunk_id", "start_time", "end_time"), F.col("t")
+    met = meeting(times, b, (t, t), (F.col("start_time"), F.col("end_time")), width).filter((F.col("start_time") <= t) & (t < F.col("end_time")))
+    inside = met.groupBy("chapter_num", "time_id").agg(F.min("chunk_id").alias("inside"))
+    ahead = next_after(times, "t", b.groupBy("chapter_num", "start_time").agg(F.min("chunk_id").alias("chunk_id")), "start_time", F.col("chunk_id"), "ahead")
+    last = b.groupBy("chapter_num").agg(F.max("chunk_id").alias("last"))
+    return ahead.join(inside, ["chapter_num", "time_id"], "left").join(last, "chapter_num").select("chapter_num", "time_id", "t", F.coalesce("inside", "ahead", "last").alias("chunk_id"))
+
+
+def overlapping(spans: DataFrame, segments: DataFrame, width: float = 60.0) -> DataFrame:
+    """``spans(chapter_num, span_id, start, end)`` with the text of the segments that they touch, ends included."""
+    s = segments.select("chapter_num", "seg_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("text").alias("said"))
+    met = meeting(spans, s, (F.col("start"), F.col("end")), (F.col("s"), F.col("e")), width).filter(~((F.col("e") < F.col("start")) | (F.col("s") > F.col("end"))))
+    text = met.groupBy("chapter_num", "span_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "said"))), lambda x: x["said"]), " ").alias("heard"))
+    return spans.join(text, ["chapter_num", "span_id"], "left").withColumn("heard", F.coalesce("heard", F.lit("")))

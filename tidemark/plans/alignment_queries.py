@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import alignment as A
 from tidemark.operators import segments as S
-from tidemark.plans.timing_queries import SEGMENTS_SQL, WORDS_SQL
+from tidemark.plans.timing_queries import SEGMENTS_SQL, WORDS_SQL, steps
 from tidemark.sources import recordings as R
 from tidemark.sources.tables import dialogue_chapters
 
@@ -30,7 +30,7 @@ def a2_fuzzy_matches(spark, sf_dir):
 
 
 def _gappy(spark, sf_dir):
-    words = R.word_times(spark, sf_dir).persist()
+    words = R.word_times(spark, sf_dir)
     hit = F.col("matched") & (F.col("chapter_num") % 11 != 0)
     return words, words.select("chapter_num", "token_idx", F.when(hit, F.col("start")).alias("start"), F.when(hit, F.col("end")).alias("end"))
 
@@ -46,7 +46,7 @@ def a6_board_times(spark, sf_dir):
 
 
 def a8_extras(spark, sf_dir):
-    words = R.word_times(spark, sf_dir).persist()
+    words = R.word_times(spark, sf_dir)
     heard = words.select("chapter_num", F.col("token_idx").alias("heard_idx"), "word", "start", "end", F.when(F.col("token_idx") % 20 < 12, F.col("token_idx")).alias("token_idx"))
     return A.extras(heard, R.stats(words).select("chapter_num", "token_count"))
 
@@ -60,6 +60,14 @@ def s10_even_words(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (a1_matches, a2_fuzzy_matches, a5_word_times, a6_board_times, a8_extras, a9_report, s10_even_words)}
+ORACLE_SQL["a6_board_times"] = steps(
+    """SELECT chapter_num, board_idx, round(st, 3) AS start_time, round(en, 3) AS end_time FROM r""", "bb"
+).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    " SELECT chapter_num, board_idx, round(st",
+    """, r AS (SELECT chapter_num, board AS board_idx, greatest(first_start - 3, 0.0) AS st, greatest(greatest(first_start - 3, 0.0) + 0.5, last_end) AS en FROM bb WHERE board = 0
+    UNION ALL SELECT bb.chapter_num, board, greatest(first_start - 3, en), greatest(greatest(first_start - 3, en) + 0.5, last_end) FROM r JOIN bb ON bb.chapter_num = r.chapter_num AND board = board_idx + 1)
+    SELECT chapter_num, board_idx, round(st""", 1,
+)
 ORACLE_SQL["a9_report"] = f"SELECT chapter_num, count(*) AS words, count(*) FILTER (matched) AS matched, round(count(*) FILTER (matched) * 100.0::DOUBLE / count(*), 2) AS match_percentage FROM ({WORDS_SQL}) GROUP BY chapter_num"
 ORACLE_SQL["a5_word_times"] = f"""
 WITH w0 AS ({WORDS_SQL}),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import chapter_map as M
 from tidemark.operators import chapters as C
 from tidemark.operators import layouts as L
 from tidemark.operators import timing as T
@@ -24,8 +25,8 @@ def books(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    own = books(spark, sf_dir).persist()
-    found = C.headings(own).persist()
+    own = books(spark, sf_dir)
+    found = C.headings(own)
     return own, found, C.scores(found, own.select("book_id", F.lit(4).alias("expected")))
 
 
@@ -44,7 +45,30 @@ def c6_chapters(spark, sf_dir):
 
 def c7_anchors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return C.anchors(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("snippet_id"), "text"))
+    return M.anchors_anywhere(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("snippet_id"), "text"))
+
+
+def _recordings(spark, sf_dir):
+    """Recordings of the conversations' books: in most of them one a chapter, in some fewer or more, in some none."""
+    turns = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("r"), F.format_string("%03d", "turn"), F.lit(".mp3"))
+    own = turns.select(F.col("conv_id").alias("book_id"), name.alias("audio_file"), (F.length(F.coalesce("text", F.lit(""))) / 13.5 + 1).alias("duration"), F.slice(X.words(F.coalesce("text", F.lit(""))), 1, 30).alias("words"), "turn")
+    return own.filter("book_id % 5 <> 4 and not (book_id % 5 = 3 and turn = 1)").drop("turn")
+
+
+def _bare(spark, sf_dir):
+    """The books; every third one without its headings."""
+    return books(spark, sf_dir).withColumn("text", F.when(F.col("book_id") % 3 == 1, F.regexp_replace("text", "(?m)^Rozdział .*$", "")).otherwise(F.col("text")))
+
+
+def c11_chapter_map(spark, sf_dir):
+    rows = M.proposed(_bare(spark, sf_dir), _recordings(spark, sf_dir))
+    return rows.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def t10_search_map(spark, sf_dir):
+    """Place in the text of each sign of its search form, counted and added up."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.search_places(F.coalesce("text", F.lit(""))).alias("p")).select("conv_id", "turn", F.array_join(F.col("p").cast("array<string>"), ",").alias("places"))
 
 
 def c13_saved_map(spark, sf_dir):
@@ -76,17 +100,25 @@ def l18_edits(spark, sf_dir):
 
 def l6_valid_cut_keys(spark, sf_dir):
     words = R.word_times(spark, sf_dir)
-    key = F.concat(F.lit("b"), F.col("token_idx"))
+    at = F.col("token_idx")
+    key = F.when(at % 4 == 1, F.concat(F.lit("i"), at, F.lit(".0"))).when(at % 4 == 2, "end").when(at % 4 == 3, F.concat(F.lit("x"), at)).otherwise(F.concat(F.lit("b"), at))
     return words.join(R.layouts(words), "chapter_num").select("chapter_num", "token_idx", L.valid_cut_key(key, F.col("breaks"), F.col("token_count")).alias("valid"))
 
 
 def l8_stale_corrections(spark, sf_dir):
     words = R.word_times(spark, sf_dir)
-    made = words.filter("token_idx % 3 = 0").select("chapter_num", F.col("token_idx").alias("lo"), (F.col("token_idx") + 7).alias("hi"))
+    made = words.select("chapter_num", F.col("token_idx").alias("lo"), (F.col("token_idx") + 7).alias("hi"))
     return L.stale_corrections(made, T.bounds(R.layouts(words)))
 
 
-QUERIES = {f.__name__: f for f in (c2_headings, c4_scores, c6_chapters, c7_anchors, c13_saved_map, l18_edits, l6_valid_cut_keys, l8_stale_corrections)}
+QUERIES = {f.__name__: f for f in (c2_headings, c4_scores, c6_chapters, c7_anchors, c11_chapter_map, t10_search_map, c13_saved_map, l18_edits, l6_valid_cut_keys, l8_stale_corrections)}
+ORACLE_SQL["t10_search_map"] = """
+SELECT conv_id, turn, coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k), '') AS places FROM (
+  SELECT *, good OR coalesce(lag(good) OVER (PARTITION BY conv_id, turn ORDER BY k), false) AS kept FROM (
+    SELECT conv_id, turn, k, regexp_matches(substr(t, CAST(k + 1 AS BIGINT), 1), '[\\p{L}\\p{N}]') AS good FROM (SELECT conv_id, turn, coalesce(text, '') AS t, unnest(range(length(coalesce(text, '')))) AS k FROM conversations)))
+WHERE kept GROUP BY 1, 2
+UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}]')
+"""
 ORACLE_SQL["c13_saved_map"] = """
 WITH b AS (SELECT conv_id AS book_id, sum(length('Rozdział ' || CASE turn WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'III' WHEN 3 THEN 'IV' WHEN 4 THEN 'V' WHEN 5 THEN 'VI' WHEN 6 THEN 'VII' ELSE 'VIII' END || '. tura' || chr(10) || coalesce(text, '') || chr(10))) AS n FROM conversations GROUP BY 1),
 e AS (SELECT conv_id AS book_id, turn AS nth, turn % 3 + 1 AS chapter_num, least(greatest(turn * 91 % 700 - 50, 0), n) AS text_start, least(greatest(turn * 300, 0), n) AS text_end FROM conversations JOIN b ON b.book_id = conv_id),
@@ -94,8 +126,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY text_start, nth
 a AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_num ORDER BY place) > 1 AS again FROM p)
 SELECT book_id, place, CASE WHEN again THEN place ELSE chapter_num END AS chapter_num, CAST(text_start AS BIGINT) AS text_start, CAST(text_end AS BIGINT) AS text_end FROM a
 """
-ORACLE_SQL["l6_valid_cut_keys"] = f"SELECT chapter_num, token_idx, token_idx % 7 = 0 AS valid FROM ({WORDS_SQL})"
+ORACLE_SQL["l6_valid_cut_keys"] = f"SELECT chapter_num, token_idx, CASE token_idx % 4 WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false ELSE token_idx % 7 = 0 END AS valid FROM ({WORDS_SQL})"
 ORACLE_SQL["l8_stale_corrections"] = f"""
 WITH w AS ({WORDS_SQL}), n AS (SELECT chapter_num, count(*) AS n FROM w GROUP BY 1)
-SELECT w.chapter_num, CAST(token_idx AS INTEGER) AS lo, CAST(token_idx + 7 AS INTEGER) AS hi FROM w JOIN n ON n.chapter_num = w.chapter_num WHERE token_idx % 3 = 0 AND NOT (token_idx % 7 = 0 AND token_idx + 7 <= n)
+SELECT w.chapter_num, CAST(token_idx AS INTEGER) AS lo, CAST(token_idx + 7 AS INTEGER) AS hi FROM w JOIN n ON n.chapter_num = w.chapter_num WHERE NOT (token_idx % 7 = 0 AND token_idx + 7 <= n)
 """

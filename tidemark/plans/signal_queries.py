@@ -109,8 +109,8 @@ w AS (SELECT *, greatest(0.0, least(t_end, mid) - 2) AS lo, least(8.0, greatest(
 s AS (SELECT w.*, i.first_frame, greatest(first_frame, lo) AS s0, least(end_frame, hi) AS s1 FROM w JOIN ({ISLANDS_SQL}) i ON i.chapter_num = w.chapter_num AND end_frame > lo AND first_frame < hi),
 c AS (SELECT *, s0 + 0.5 * (s1 - s0) AS at, least(s1 - s0, 0.5) / 0.5 - 0.8 * abs(s0 + 0.5 * (s1 - s0) - mid) / 2 AS score FROM s WHERE s1 - s0 >= 0.5),
 b AS (SELECT *, row_number() OVER (PARTITION BY chapter_num, point_id ORDER BY score DESC, first_frame) AS n FROM c)
-SELECT g.chapter_num, g.point_id, g.t_end, g.t_start, round(coalesce(b.at, g.mid), 3) AS cut, round(coalesce(least(greatest(score, 0.0), 1.0), 0.0), 3) AS confidence,
-       CASE WHEN b.at IS NULL THEN 'midpoint' ELSE 'silence' END AS method, round(coalesce(s0, 0.0), 3) AS silence_start, round(coalesce(s1, 0.0), 3) AS silence_end
+SELECT g.chapter_num, g.point_id, g.t_end, g.t_start, floor((coalesce(b.at, g.mid)) * 1000 + 0.500001) / 1000.0::DOUBLE AS cut, floor((coalesce(least(greatest(score, 0.0), 1.0), 0.0)) * 1000 + 0.500001) / 1000.0::DOUBLE AS confidence,
+       CASE WHEN b.at IS NULL THEN 'midpoint' ELSE 'silence' END AS method, floor((coalesce(s0, 0.0)) * 1000 + 0.500001) / 1000.0::DOUBLE AS silence_start, floor((coalesce(s1, 0.0)) * 1000 + 0.500001) / 1000.0::DOUBLE AS silence_end
 FROM g LEFT JOIN b ON b.chapter_num = g.chapter_num AND b.point_id = g.point_id AND n = 1
 """
 ORACLE_SQL["e7_snapped_cuts"] = _SNAP

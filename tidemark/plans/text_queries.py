@@ -50,18 +50,21 @@ _documents("s5_text_slice", "substr(text, 101, 1200) AS head, substr(text, 11, 4
 _documents("t1_line_count", f"{wrap_sql('text')} AS lines", lines=X.line_count)
 _documents("t2_sentences", f"array_to_string({sentences_sql('text')}, '|') AS sentences, len({sentences_sql('text')}) AS n", sentences=lambda t: F.array_join(X.sentences(t), "|"), n=lambda t: F.size(X.sentences(t)).cast("long"))
 _documents("t3_dialogue_lines", "len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(ltrim(l), '^[—–\\-―“„\"]'))) AS n", n=lambda t: F.size(F.filter(F.split(t, "\n"), X.is_dialogue)).cast("long"))
-_documents("t7_roman", "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' ELSE 'IV' END AS roman", roman=lambda t: X.roman((F.col("doc_id") % 5).cast("int")))
+_roman = " || ".join(f"['', {', '.join(repr(x) for x in tens)}][CAST(doc_id % 4000 // {unit} % 10 + 1 AS INTEGER)]" for unit, tens in (
+    (1000, ["M", "MM", "MMM"]), (100, "C CC CCC CD D DC DCC DCCC CM".split()), (10, "X XX XXX XL L LX LXX LXXX XC".split()), (1, "I II III IV V VI VII VIII IX".split()),
+))
+_documents("t7_roman", f"{_roman} AS roman", roman=lambda t: X.roman((F.col("doc_id") % 4000).cast("int")))
 _documents("t10_search_form", "ltrim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS form", form=X.search_form)
 _documents("t11_normal_words", f"array_to_string(list_transform({WORDS_SQL.format('text')}, lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_]', '', 'g')), ' ') AS words", words=lambda t: F.array_join(F.transform(X.words(t), X.normal_word), " "))
 _documents("t12_words", f"len({WORDS_SQL.format('text')}) AS n, array_to_string({WORDS_SQL.format('text')}, ' ') AS words", n=lambda t: F.size(X.words(t)).cast("long"), words=lambda t: F.array_join(X.words(t), " "))
 _documents("t15_text_hash", f"substr(sha1(array_to_string({WORDS_SQL.format('text')}, chr(10))), 1, 16) AS hash", hash=lambda t: X.words_hash(X.words(t)))
-_mark = "left(text, 40) || ' (brak tekstu x) ' || substr(text, 41, 40)"
-_mark_col = lambda t: F.concat(F.substring(t, 1, 40), F.lit(" (brak tekstu x) "), F.substring(t, 41, 40))
+_mark = "left(text, 40) || ' (brak tekstu x) ' || substr(text, 41)"
+_mark_col = lambda t: F.concat(F.substring(t, 1, 40), F.lit(" (brak tekstu x) "), F.substr(t, F.lit(41)))
 _documents("t16_without_marker", f"{TRIM_SQL.format(f'regexp_replace({_mark}, chr(92) || ' + chr(39) + '(brak tekstu[^)]*' + chr(39) + f' || chr(92) || {chr(39)}){chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} AS body", body=lambda t: X.without_marker(_mark_col(t)))
-_documents("t17_heard_board", "CASE WHEN left(text, 30) = '' THEN '(brak tekstu w pliku txt)' ELSE left(text, 30) || chr(10) || '(brak tekstu w pliku txt)' END AS board", board=lambda t: X.heard_board(F.substring(t, 1, 30)))
-_clean = "regexp_replace(trim(regexp_replace(translate(left(text, 80), '\\/:*?\"<>|' || chr(13) || chr(10) || chr(9), ''), '\\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')"
+_documents("t17_heard_board", "CASE WHEN text = '' THEN '(brak tekstu w pliku txt)' ELSE text || chr(10) || '(brak tekstu w pliku txt)' END AS board", board=X.heard_board)
+_clean = "regexp_replace(trim(regexp_replace(translate(text, '\\/:*?\"<>|' || chr(13) || chr(10) || chr(9), ''), '\\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')"
 _devices = ", ".join(f"'{d}'" for d in X.DEVICE_NAMES)
-_documents("t18_safe_name", f"CASE WHEN {_clean} = '' THEN 'projekt' WHEN upper(string_split({_clean}, '.')[1]) IN ({_devices}) THEN '_' || {_clean} ELSE {_clean} END AS name", name=lambda t: X.safe_component(F.substring(t, 1, 80)))
+_documents("t18_safe_name", f"CASE WHEN {_clean} = '' THEN 'projekt' WHEN upper(string_split({_clean}, '.')[1]) IN ({_devices}) THEN '_' || {_clean} ELSE {_clean} END AS name", name=X.safe_component)
 _spoken = TRIM_SQL.format("regexp_replace(text, '^[—–\\-\"''„“\\s]+', '')")
 _five = f"{WORDS_SQL.format(_spoken)}[1:5]"
 _kept = f"regexp_replace(regexp_replace(translate(array_to_string({_five}, ' '), '\\/:*?\"<>|', ''), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"

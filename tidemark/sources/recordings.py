@@ -65,10 +65,17 @@ def book_boards(words: DataFrame) -> DataFrame:
 
 
 def inserts(words: DataFrame) -> DataFrame:
-    """What is heard before every fourth board: anchor, nth, start_time, end_time, heard, text, edited, typed, breaks."""
+    """What is heard before every fourth board: anchor, nth, start_time, end_time, heard, text, edited, typed, breaks, words.
+
+    Every other one has word times; who types an insert anew keeps one of the words heard.
+    """
     at = words.filter(f"token_idx % {4 * BOARD} = 0")
+    start, end = F.greatest(F.lit(0.0), F.col("start") - 0.4), F.col("start")
+    mid = round3((start + end) / 2)
+    said = lambda w, s, e: F.struct(w.alias("w"), s.alias("s"), e.alias("e"))
     return at.select(
-        "chapter_num", F.col("token_idx").alias("anchor"), F.lit(0).alias("nth"), F.greatest(F.lit(0.0), F.col("start") - 0.4).alias("start_time"), F.col("start").alias("end_time"),
+        "chapter_num", F.col("token_idx").alias("anchor"), F.lit(0).alias("nth"), start.alias("start_time"), end.alias("end_time"),
         F.concat(F.lit("heard "), "word").alias("heard"), F.lit(None).cast("string").alias("text"), F.col("matched").alias("edited"),
-        F.when(F.col("matched"), F.lit("typed words of a user")).alias("typed"), F.array(F.lit(2)).alias("breaks"),
+        F.when(F.col("matched"), F.concat(F.lit("typed "), "word", F.lit(" of a user"))).alias("typed"), F.array(F.lit(2)).alias("breaks"),
+        F.when(F.col("token_idx") % (8 * BOARD) == 0, F.array(said(F.lit("heard"), start, mid), said(F.col("word"), mid, end))).alias("words"),
     )
