@@ -15,7 +15,7 @@ def test_bounds_never_miss(dims):
     rng = np.random.default_rng(dims)
     raw = rng.standard_normal((120, dims))
     raw[60:] = raw[:60] + rng.standard_normal((60, dims)) * np.linspace(0.05, 0.8, 60)[:, None] * (0.5 if dims > 2 else 1)
-    x = ed.Tile(range(120), [1] * 120, raw * rng.uniform(1e-3, 1e3, (120, 1)))
+    x = ed.tile_of(range(120), [1] * 120, raw * rng.uniform(1e-3, 1e3, (120, 1)))
     got = ed.linked(x, x, 0.9)
     assert (got == (np.einsum("ik,jk->ij", x.unit, x.unit) >= 0.9)).all()
     approx = (x.whole * x.scale[:, None]) @ (x.whole * x.scale[:, None]).T

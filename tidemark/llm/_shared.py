@@ -1,17 +1,14 @@
-"""Helpers shared by the training-data operators.
-
-Scratch tables live in the folder that the cluster names in ``spark.checkpoint.dir``: it is shared by
-the driver and all executors, so a table written there cuts lineage and outlives a lost executor.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import discard, materialise, scratch_path
+
+__all__ = ["attach", "discard", "documents", "materialise", "named", "partitions", "scratch_path", "staying", "text_or_empty"]
+
 #: A word is a maximal run of characters that aren't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,37 +22,6 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; where the session names none, a new local one (tests and local mode only)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed when the session's JVM ends."""
-    path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,3 +46,16 @@ def attach(rows: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
     return found.join(cold, ["__key", "__salt"], "left").select(
         *rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in rest)
     )
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, mark``: what decisions on documents need, ``mark`` being a hash of the text; other columns can't clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("mark"))
+
+
+def staying(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep(first)`` names by id and mark, with all their columns as they are."""
+    keep = materialise(keep.select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark")), "keep")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_mark"))
+    kept = whole.join(keep, (F.col("own_mark") == F.col("mark")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    return kept.select("doc.*")

@@ -8,10 +8,11 @@ can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import materialise
+from tidemark.llm._shared import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,22 +25,42 @@ def components(links: DataFrame) -> DataFrame:
     )
     while links.limit(1).count():
         ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        parent = materialise(
+        parent_table = parent = materialise(
             ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("low")).select("node", F.least("node", "low").alias("parent")), "parents"
         )
         while True:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
             higher = parent.join(up, "parent", "left").select("node", F.col("parent").alias("old"), F.coalesce("top", "parent").alias("parent"))
-            higher = materialise(higher, "parents")
-            parent = higher.drop("old")
+            before, higher = parent_table, materialise(higher, "parents")
+            discard(before)
+            parent_table, parent = higher, higher.drop("old")
             if not higher.filter("old <> parent").limit(1).count():
                 break
         to = lambda c: parent.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
         moved = links.join(to("a"), "a").join(to("b"), "b").select("a_root", "b_root").filter("a_root <> b_root")
+        old_links, old_labels = links, labels
         links = materialise(
             moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links"
         )
         labels = materialise(
             labels.join(to("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component")), "labels"
         )
+        discard(old_links, old_labels, parent_table)
+    discard(links)
     return labels
+
+
+def forest(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a bipartite matrix that connect what all its links connect."""
+    left_rows, left_columns, out = near.any(axis=1), near.any(axis=0), []
+    for root in np.flatnonzero(left_rows):
+        if not left_rows[root]:
+            continue
+        left_rows[root], name, stack = False, int(rows[root]), [(int(root), True)]
+        while stack:
+            at, is_row = stack.pop()
+            new = np.flatnonzero(near[at] & left_columns) if is_row else np.flatnonzero(near[:, at] & left_rows)
+            (left_columns if is_row else left_rows)[new] = False
+            out += [(name, int(x)) for x in (columns if is_row else rows)[new]]
+            stack += [(int(k), not is_row) for k in new]
+    return [(a, b) for a, b in out if a != b]
