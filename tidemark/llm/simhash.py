@@ -7,10 +7,9 @@ span the space, so for any two fingerprints within the radius some table keeps n
 they differ: they meet there (Pagh, 2016). No pair is missed.
 
 Only distinct fingerprints enter the tables. A bucket of up to BUCKET of them is compared within one task,
-which gives a spanning forest of its links and never all pairs. A larger bucket is hashed again by the
-bits that its table left out, and so on; where at most RADIUS bits are left, all members are linked as
-they stand. Each level halves the bits left out, so there are at most five levels, and only members of
-large buckets go on to the next.
+which gives a spanning forest of its links and never all pairs. A larger bucket, which only a dense cluster
+makes, is dealt into tiles of about BUCKET, and each pair of its tiles is a task: quadratic in that bucket
+alone, in bounded memory, and spread over all tasks.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0, linked like any other;
 one with fewer words than a shingle is hashed whole; rows with equal ids are separate members of their
@@ -24,11 +23,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import attach, materialise, partitions, text_or_empty
-from tidemark.llm.components import components
+from tidemark.llm.components import components, forest
 from tidemark.llm.tokens import as_bytes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -89,30 +88,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _level(kept: dict[int, int], radius: int) -> dict[int, list[tuple[int, int]]]:
-    """For each table, by number: the next level's tables and the bits kept there."""
-    out = {}
-    for path, mask in kept.items():
-        free = [b for b in range(64) if not mask >> b & 1]
-        out[path] = [(path * (1 << (radius + 1)) + v + 1, mask | own) for v, own in enumerate(cover(free, radius))]
-    return out
-
-
-def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect exactly what the links within ``radius`` connect."""
-    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
-    left, out = np.ones(len(members), bool), []
-    for root in range(len(members)):
-        if not left[root]:
-            continue
-        left[root], stack = False, [root]
-        while stack:
-            new = np.flatnonzero(near[stack.pop()] & left)
-            left[new] = False
-            stack.extend(new.tolist())
-            out.extend((root, k) for k in new.tolist())
-    signed = members.view(np.int64)
-    return [(int(signed[a]), int(signed[b])) for a, b in out]
+def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of ``a`` (rows) and ``b`` (columns) differ in at most ``radius`` bits; by blocks, to bound memory."""
+    blocks = [np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= radius for k in range(0, len(a), 256)]
+    return np.concatenate(blocks) if blocks else np.zeros((0, len(b)), bool)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -122,46 +101,34 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             found = []
-            for members in batch.column(0):
-                found += _forest(np.sort(np.array(members.as_py(), np.int64).view(np.uint64)), radius)
+            for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.array(left, np.int64)
+                columns = np.array(right, np.int64) if right else rows
+                found += forest(near(rows.view(np.uint64), columns.view(np.uint64), radius), rows, columns)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    rows, kept, out = fps.select(F.lit(0).cast("long").alias("path"), "fp"), {0: 0}, None
-    while True:
-        tables = _level(kept, radius)
-        # Each row becomes as many as there are tables; a task makes about SPREAD of them.
-        copies = rows.count() * max(map(len, tables.values()))
-        rows = rows.repartition(max(partitions(fps.sparkSession), -(-copies // SPREAD)), "fp")
-        first = sorted(tables)
-        numbers = [F.array(*[F.struct(F.lit(p).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for p, m in tables[k]]) for k in first]
-        choice: Column = numbers[0] if len(numbers) == 1 else F.create_map(*[x for k, n in zip(first, numbers, strict=True) for x in (F.lit(k).cast("long"), n)])[F.col("path")]
-        keyed = rows.select("fp", F.explode(choice).alias("t")).select("fp", F.col("t.path").alias("path"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"))
-        buckets = materialise(
-            keyed.groupBy("path", "key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-            .filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))),
-            "buckets",
-        )
-        parts = [buckets.filter("n = 2").select("a", "b")]
-        more = buckets.filter("n > 2").select("path", "key", "n")
-        members = materialise(keyed.join(more, ["path", "key"]).select("path", "key", "n", "fp"), "members")
-        small = members.filter(F.col("n") <= bucket).groupBy("path", "key").agg(F.collect_list("fp").alias("members"))
-        parts.append(small.select("members").mapInArrow(compare, "a LONG, b LONG"))
-        large = members.filter(F.col("n") > bucket)
-        kept = {p: m for own in tables.values() for p, m in own}
-        done = [p for p, m in kept.items() if 64 - m.bit_count() <= radius]
-        if done:  # what differs only in so few bits is linked as it stands
-            parts.append(
-                large.filter(F.col("path").isin(done)).join(buckets.select("path", "key", "a"), ["path", "key"]).filter("a <> fp").select("a", F.col("fp").alias("b"))
-            )
-            large = large.filter(~F.col("path").isin(done))
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
-        if not large.limit(1).count():
-            return out
-        used = {r.path for r in large.select("path").distinct().collect()}  # at most as many as there are tables
-        kept = {p: m for p, m in kept.items() if p in used}
-        rows = large.select("path", "fp")
+    masks = cover(list(range(64)), radius)
+    tables = F.array(*[F.struct(F.lit(k).alias("path"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(masks)])
+    # Each row becomes as many as there are tables; a task makes about SPREAD of them.
+    rows = fps.repartition(max(partitions(fps.sparkSession), -(-fps.count() * len(masks) // SPREAD)), "fp")
+    keyed = rows.select("fp", F.explode(tables).alias("t")).select("fp", F.col("t.path").alias("path"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"))
+    buckets = materialise(
+        keyed.groupBy("path", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        .filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))),
+        "buckets",
+    )
+    members = materialise(keyed.join(buckets.filter("n > 2").select("path", "key", "n"), ["path", "key"]).select("path", "key", "n", "fp"), "members")
+    small = members.filter(F.col("n") <= bucket).groupBy("path", "key").agg(F.collect_list("fp").alias("left"))
+    tiles = F.ceil(F.col("n") / bucket).cast("int")
+    large = members.filter(F.col("n") > bucket).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j")))
+    dealt = large.select("path", "key", "fp", "tile", F.explode(others).alias("p")).groupBy("path", "key", "p.i", "p.j")
+    pairs = dealt.agg(F.collect_list(F.when(F.col("tile") == F.col("p.i"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("tile") != F.col("p.i"), F.col("fp"))).alias("right"))
+    # Written, so that a table of one dense cluster is spread by its pairs of tiles.
+    pairs = materialise(pairs.filter("size(left) > 0").select("left", "right"), "tiles")
+    sides = small.select("left", F.array().cast("array<bigint>").alias("right")).unionByName(pairs)
+    return buckets.filter("n = 2").select("a", "b").unionByName(sides.mapInArrow(compare, "a LONG, b LONG"))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -187,10 +154,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
 
     Rows alike in id and text are one decision.
     """
-    mark = F.xxhash64(text_or_empty())
-    rows = materialise(fingerprints(docs.withColumn("__mark", mark), size, "__mark"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("first")
-    keep = group(rows, radius).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.__mark").alias("__own"))
-    return docs.withColumn("__mark", mark).join(
-        materialise(keep, "keep"), (F.col("__mark") == F.col("__own")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi"
-    ).drop("__mark")
+    rows = materialise(fingerprints(named(docs), size, "mark"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    keep = group(rows, radius).groupBy("component").agg(first)
+    return staying(docs, keep)
