@@ -9,7 +9,8 @@ from tidemark.llm._shared import documents
 
 
 def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup.classes(documents(spark, sf_dir))
+    """In two batches, so that the second one meets an index that holds the first."""
+    return exact_dedup.classes(documents(spark, sf_dir), batches=2)
 
 
 OP9_SQL = """
