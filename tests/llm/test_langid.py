@@ -43,7 +43,7 @@ def test_scores_of_many_words_are_those_of_each():
             known = any((kind, w) == ("w", word) for _, kind, w, _ in counts)
             x = math.log(0.5 * math.exp(max(x, -700)) + 0.5 * share) if known else x
             logs.append(x if (lang == "ru") == (word == "дом") else -math.inf)
-        assert row.tolist() == pytest.approx([max(x - max(logs), -langid.MOST) for x in logs])
+        assert row.tolist() == pytest.approx([langid.NEVER if x == -math.inf else max(x - max(logs), -langid.MOST) for x in logs])
     assert (model.score(words) == np.concatenate([model.score([w]) for w in words])).all()
 
 
@@ -71,6 +71,35 @@ def test_spans(spark):
     assert mixed.lang_pred == "en" and 0.5 < mixed.score < 0.7
 
 
+def test_scripts_narrow(spark):
+    """Words in a script that only one language uses are that language's, whatever stands around them."""
+    model = langid.fit(docs(spark))
+    text = " ".join([EN, EN, "дом и река", EN])
+    n = len(EN.split())
+    for words, spans in [
+        (text, [(0, 2 * n - 1, "en"), (2 * n, 2 * n + 2, "ru"), (2 * n + 3, 3 * n + 2, "en")]),
+        (f"{EN} роадroad {EN}", None),
+        (f"{EN} ρίβερ {EN}", [(0, 2 * n, "en")]),  # Greek, which nobody learned, narrows nothing
+    ]:
+        row = langid.identify(spark.createDataFrame([(1, words)], "doc_id LONG, text STRING"), model).first()
+        assert row.lang_pred == "en"
+        if spans:
+            assert [(s.first, s.last, s.lang) for s in row.spans] == spans
+    assert row.score == 1.0
+    score = model.score(["дом", "домhouses", "домыhou"])
+    assert score[0].tolist() == pytest.approx([langid.NEVER, langid.NEVER, 0.0])
+    assert score[1][2] == langid.NEVER and score[1].max() == 0.0  # most of its letters are Latin
+    assert score[2].tolist() == pytest.approx([langid.NEVER, langid.NEVER, 0.0])
+
+
+def test_every_word_of_the_sample_counts(spark):
+    """A word met once still tells languages apart."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("aaa bbb abab", "x"), ("aaa bbb baba", "y")])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"))
+    assert model.score(["abab"])[0].argmax() == 0 and model.score(["baba"])[0].argmax() == 1
+    assert langid.word_hash("abab") in model.word_hashes.tolist()
+
+
 def test_nothing_learned(spark):
     model = langid.fit(docs(spark).filter("lang = 'none'"))
     assert {r.lang_pred for r in langid.identify(docs(spark), model).collect()} == {"und"}

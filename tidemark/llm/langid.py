@@ -1,12 +1,14 @@
 """Language identification with spans, for mixed-language text.
 
-Words are scored for every language learned: the script of a word's letters narrows the candidates, and a
-mixture of the language's word frequencies and its letter trigrams gives the word's log-probability. A
-Viterbi pass over the words, which pays SWITCH for each change of language, labels spans; the document's
-language is the one with the most letters, and its score is their share.
+The scripts of a word's letters narrow its candidates: only the languages whose scripts cover the most of its
+letters can have it, whatever the words around it are. For those a mixture of the language's word frequencies
+and its letter trigrams gives the word's log-probability. A Viterbi pass over the words, which pays SWITCH for
+each change of language, labels spans; the document's language is the one with the most letters, and its score
+is their share.
 
-The model is fitted on at most SAMPLE documents of each language, drawn by a hash of the id over all
-labelled rows; SAMPLE is a parameter. Prediction sees nothing but the text.
+The model is fitted on about SAMPLE documents of each language at most, and on about SAMPLE_CHARS characters of
+them, drawn by a hash of the id over all labelled rows; both are parameters. Every word of the sample counts.
+Prediction sees nothing but the text. Words are known by a 64-bit hash (XXH64).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no span; so is every text
 where nothing was labelled; words without letters go with the words around them; of equally likely
@@ -22,20 +24,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import text_or_empty
-from tidemark.llm.tokens import as_bytes
+from tidemark.llm.tokens import as_bytes, kept
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_CHARS = 2000, 1 << 23
 #: Nats that a change of language costs.
 SWITCH = 20.0
 #: No word speaks for one language over another by more nats than this.
 MOST = 6.0
+#: What a word scores in a language that its letters rule out: more than any number of switches costs.
+NEVER = -1e6
 #: Share of a language's letters from which a script belongs to it.
 SCRIPT_SHARE = 0.001
-CACHE = 500_000
+#: Chunks that a worker remembers: some 20 MB.
+CACHE = 100_000
 #: Signs that often end a word.
 SIGNS = b".,;:!?*$%&"
 UNKNOWN = "und"
@@ -59,6 +65,13 @@ SCRIPTS = {
 }
 
 
+NAMES = [*SCRIPTS, "Other"]
+
+
+def script_number(name: str) -> int:
+    return NAMES.index(name)
+
+
 @cache
 def script_of(letter: str) -> str:
     point = ord(letter)
@@ -84,66 +97,85 @@ def held_out(doc_id: Column | None = None) -> Column:
     return F.crc32(text.cast("binary")) % 4 == 2
 
 
+def word_hash(word: str) -> int:
+    """A word's XXH64 as a signed integer."""
+    h = xxhash.xxh64_intdigest(word.encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: The scripts' ranges in order: first code point, one after the last, and the script's name.
+_RANGES = sorted((a, b + 1, name) for name, ranges in SCRIPTS.items() for a, b in ranges)
+_EDGES = np.array([x for a, b, _ in _RANGES for x in (a, b)], np.int64)
+
+
 class Model:
-    """Word scores by language. ``counts``: rows (lang, kind, feature, n) of ``features``."""
+    """Word scores by language.
+
+    ``counts``: arrays lang, kind, feature, n of ``features``; or rows of them with features as text.
+    """
 
     def __init__(self, counts):
-        words, grams, scripts = {}, {}, {}
-        for lang, kind, feature, n in counts:
-            {"w": words, "t": grams, "s": scripts}[kind].setdefault(lang, Counter())[feature] += n
-        self.langs = sorted(scripts)
-        L = len(self.langs)
-        self.words, self.grams = {}, {}
-        contexts = [Counter() for _ in self.langs]
-        letters = len({g[2] for x in grams.values() for g in x}) + 1
-        for k, lang in enumerate(self.langs):
-            for gram, n in grams.get(lang, {}).items():
-                contexts[k][gram[:2]] += n
-        for gram in {g for x in grams.values() for g in x}:
-            row = [math.log((grams.get(lang, {}).get(gram, 0) + 0.1) / (contexts[k][gram[:2]] + 0.1 * letters)) for k, lang in enumerate(self.langs)]
-            self.grams[gram] = tuple(row)
-        self.new_gram = tuple([math.log(0.1 / letters)] * L)
-        totals = [sum(words.get(lang, {}).values()) or 1 for lang in self.langs]
-        for word in {w for x in words.values() for w in x}:
-            self.words[word] = tuple(words.get(lang, {}).get(word, 0) / totals[k] for k, lang in enumerate(self.langs))
-        self.candidates = {}
-        for lang, own in scripts.items():
-            for script, n in own.items():
-                if n >= SCRIPT_SHARE * sum(own.values()):
-                    self.candidates.setdefault(script, set()).add(self.langs.index(lang))
-
-        # The same as arrays, to score many words at once; the last row of ``gram_rows`` counts for nothing.
-        order = sorted(self.grams, key=_codes_of)
-        self.gram_codes = np.array([_codes_of(g) for g in order], np.int64)
-        self.gram_rows = np.array([*(self.grams[g] for g in order), self.new_gram, (0.0,) * L]).reshape(len(order) + 2, L)
-        self.word_places = {w: k for k, w in enumerate(self.words)}
-        self.word_rows = np.array([*self.words.values(), (0.0,) * L]).reshape(len(self.words) + 1, L)
-        self.masks: dict[str, tuple[float, ...]] = {}
-
-    def mask(self, letter: str) -> tuple[float, ...]:
-        """0 for the languages that use the letter's script, else minus infinity."""
-        own = self.masks.get(letter)
-        if own is None:
-            fit = self.candidates.get(script_of(letter)) or range(len(self.langs))
-            own = self.masks[letter] = tuple(0.0 if k in fit else -math.inf for k in range(len(self.langs)))
-        return own
+        if not isinstance(counts, dict):
+            rows = list(counts)
+            name = {"w": word_hash, "t": _codes_of, "s": script_number}
+            counts = {c: np.array([r[k] if k != 2 else name[r[1]](r[2]) for r in rows], np.int64 if k > 1 else object) for k, c in enumerate(("lang", "kind", "feature", "n"))}
+        langs, kinds, features, times = (counts[c] for c in ("lang", "kind", "feature", "n"))
+        self.langs = sorted(set(langs[kinds == "s"]))
+        place, L = {lang: k for k, lang in enumerate(self.langs)}, len(self.langs)
+
+        def table(kind):
+            """Features ascending, and their counts by language."""
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.isin(langs[own], self.langs)]
+            found, at = np.unique(features[own], return_inverse=True)
+            rows = np.zeros((len(found), L))
+            np.add.at(rows, (at, np.array([place[x] for x in langs[own]], np.int64)), times[own])
+            return found, rows
+
+        # The last row of ``gram_rows`` counts for nothing, the one before it stands for unknown trigrams.
+        self.gram_codes, n = table("t")
+        context, at = np.unique(self.gram_codes >> 21, return_inverse=True)
+        seen = np.zeros((len(context), L))
+        np.add.at(seen, at, n)
+        letters = len(np.unique(self.gram_codes & 0x1FFFFF)) + 1
+        rows = np.log((n + 0.1) / (seen[at] + 0.1 * letters))
+        self.gram_rows = np.concatenate([rows, np.full((1, L), math.log(0.1 / letters)), np.zeros((1, L))])
+        self.word_hashes, n = table("w")
+        self.word_rows = (n / np.maximum(n.sum(axis=0), 1)).astype(np.float32)
+        self.candidates: dict[str, set[int]] = {}
+        scripts, n = table("s")
+        for script, row in zip(scripts.tolist(), n >= np.maximum(SCRIPT_SHARE * n.sum(axis=0), 1e-9), strict=True):
+            if row.any():
+                self.candidates[NAMES[script]] = set(np.flatnonzero(row).tolist())
+        #: By place among the ranges' edges, which languages may have a letter there.
+        self.allowed = np.ones((len(_EDGES) + 1, L), bool)
+        for k in range(len(_EDGES) + 1):
+            name = _RANGES[(k - 1) // 2][2] if k % 2 else "Other"
+            if fit := self.candidates.get(name):
+                self.allowed[k] = [lang in fit for lang in range(L)]
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log-probabilities of words of letters, each less its best, at least -MOST."""
+        """Log-probabilities of words of letters, each less its candidates' best and at least -MOST; NEVER for the others."""
         code = np.frombuffer("".join([f"^^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
         grams = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
-        ends = np.cumsum([len(w) + 3 for w in words])
+        sizes = np.array([len(w) + 3 for w in words])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         at = np.minimum(np.searchsorted(self.gram_codes, grams), max(0, len(self.gram_codes) - 1))
         met = self.gram_codes[at] == grams if len(self.gram_codes) else np.zeros(len(grams), bool)
         at = np.where(met, at, len(self.gram_codes))
         for k in (2, 1):  # trigrams over the end of a word
             at[(ends - k)[:-1]] = len(self.gram_codes) + 1
-        logs = np.add.reduceat(self.gram_rows[at], np.concatenate([[0], ends[:-1]]), axis=0)
-        place = np.array([self.word_places.get(w, -1) for w in words])
-        known = np.flatnonzero(place >= 0)
+        logs = np.add.reduceat(self.gram_rows[at], starts, axis=0)
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        place = np.minimum(np.searchsorted(self.word_hashes, hashes), max(0, len(self.word_hashes) - 1))
+        known = np.flatnonzero(self.word_hashes[place] == hashes) if len(self.word_hashes) else np.zeros(0, int)
         logs[known] = np.log(0.5 * np.exp(np.maximum(logs[known], -700)) + 0.5 * self.word_rows[place[known]])
-        logs += np.array([self.mask(w[0]) for w in words])
-        return np.maximum(logs - logs.max(axis=1, keepdims=True), -MOST)
+        # Signs of the padding lie in no script's range, where every language is allowed: they change no difference.
+        fits = np.add.reduceat(self.allowed[np.searchsorted(_EDGES, code, "right")], starts, axis=0, dtype=np.int64)
+        fits = fits == fits.max(axis=1, keepdims=True)
+        best = np.where(fits, logs, -np.inf).max(axis=1, keepdims=True)
+        return np.where(fits, np.maximum(logs - best, -MOST), NEVER)
 
 
 def _codes_of(gram: str) -> int:
@@ -242,50 +274,52 @@ def identify_text(text: bytes, scorer: Scorer, switch: float = SWITCH):
 
 
 def features(labelled: DataFrame) -> DataFrame:
-    """``lang, kind, feature, n``: counts of words, letter trigrams and scripts of ``labelled(text, lang)``."""
+    """``lang, kind, feature, n``: counts of words (by hash), letter trigrams (by code) and scripts (by number) of ``labelled(text, lang)``."""
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("feature", pa.string()), ("n", pa.int64())])
+        schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            found: dict[tuple[str, str], Counter] = {}
+            found: dict[str, tuple[Counter, Counter, Counter]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                words = Counter(filter(None, map(letters_of, text.split())))
-                grams, scripts = found.setdefault((lang, "t"), Counter()), found.setdefault((lang, "s"), Counter())
-                found.setdefault((lang, "w"), Counter()).update(words)
-                for word, n in words.items():
+                words, grams, scripts = found.setdefault(lang, (Counter(), Counter(), Counter()))
+                own = Counter(filter(None, map(letters_of, text.split())))
+                words.update(own)
+                for word, n in own.items():
                     for gram in trigrams(word):
                         grams[gram] += n
                     for c in word:
                         scripts[script_of(c)] += n
-            rows = [(lang, kind, f, n) for (lang, kind), own in found.items() for f, n in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+            for lang, own in found.items():
+                for kind, name, counted in zip("wts", (word_hash, _codes_of, script_number), own, strict=True):
+                    n = len(counted)
+                    columns = [pa.array([lang] * n), pa.array([kind] * n), pa.array(map(name, counted), pa.int64()), pa.array(counted.values(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    counted = labelled.select("lang", "text").mapInArrow(run, "lang STRING, kind STRING, feature STRING, n LONG")
+    counted = labelled.select("lang", "text").mapInArrow(run, "lang STRING, kind STRING, feature LONG, n LONG")
     return counted.groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of ``docs(doc_id, text, lang)`` from at most about ``sample`` documents of each language."""
+def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model of ``docs(doc_id, text, lang)`` from about ``sample`` documents and ``chars`` characters of each language at most."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("share"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size"))
+    sizes = sizes.select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"), F.coalesce(F.try_divide(F.lit(float(chars)), F.col("size")), F.lit(1.0))).alias("share"))
     drawn = F.pmod(F.xxhash64(F.lit(11), F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     chosen = rows.join(F.broadcast(sizes), F.col("lang") == F.col("own")).filter(drawn)  # one row a language
-    # Words met once say little; what is left is bounded by the sample.
-    counts = features(chosen).filter((F.col("kind") != "w") | (F.col("n") > 2))
-    return Model([tuple(r) for r in counts.collect()])
+    counts = features(chosen).toArrow()  # bounded by the sample
+    return Model({"lang": _texts(counts["lang"]), "kind": _texts(counts["kind"]), "feature": counts["feature"].to_numpy(), "n": counts["n"].to_numpy()})
 
 
-_scorers: dict[int, Scorer] = {}
+def _texts(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of few different texts as an array of objects, each text held once."""
+    coded = column.combine_chunks().dictionary_encode()
+    return np.array([*coded.dictionary.to_pylist(), None], object)[coded.indices.to_numpy()]
 
 
 def _scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; kept between tasks."""
-    own = shared.value
-    if id(own) not in _scorers:
-        _scorers.clear()
-        _scorers[id(own)] = Scorer(own)
-    return _scorers[id(own)]
+    """The worker's scorer of a broadcast model."""
+    return kept(shared.value, Scorer)
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
