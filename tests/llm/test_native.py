@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import duckdb
 import pytest
@@ -64,8 +65,32 @@ def test_mix_meets_targets(spark, folder):
     copies = mixing.mixed(docs.withColumnRenamed("n_chars", "size"))
     assert copies.columns == ["doc_id", "text", "lang", "source", "size"] and copies.count() == rows.copies.sum()
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
-    weighted = mixing.mix(docs, inclusion=docs.n_chars * 2).toPandas()
-    assert weighted.taken.sum() == pytest.approx(rows.target.groupby(rows.source.fillna("(null)")).first().sum(), abs=2e4)
+
+
+def test_inclusion_rates(spark):
+    """Over many draws each document comes as often as its weight asks; the greatest ones always."""
+    sizes = [1, 1, 2, 2, 3, 4, 4, 5, 6, 8, 8, 10, 12, 16, 20, 40]
+    draws, most = 600, sum(sizes)
+    rows = [(1000 * d + k, "w " * n, f"s{d:04d}") for d in range(draws) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    for inclusion, weights in ((None, sizes), (docs.doc_id * 0 + 4, [4] * len(sizes))):
+        # Every source's size is the same; targets are half of it and one and a half by turns.
+        got = mixing.mix(docs, weights=(1.0, 3.0), inclusion=inclusion).selectExpr("doc_id % 1000 AS k", "copies - IF(target > size * 0 + source_size, 1, 0) AS drawn").groupBy("k").avg("drawn").collect()
+        rate = {r[0]: r[1] for r in got}
+        held = [2 ** (round(16 * math.log2(w)) / 16) for w in weights]
+        sure: set[int] = set()
+        while True:  # by the definition: what exceeds one is certain, the rest is shared anew
+            need = most / 2 - sum(sizes[k] for k in sure)
+            share = {k: need * held[k] / sum(held[j] * sizes[j] for j in range(len(sizes)) if j not in sure) for k in range(len(sizes)) if k not in sure}
+            more = {k for k, p in share.items() if p >= 1}
+            if not more:
+                break
+            sure |= more
+        for k in range(len(sizes)):
+            want = 1.0 if k in sure else share[k]
+            assert rate[k] == pytest.approx(want, abs=4 * math.sqrt(max(want * (1 - want), 1e-9) / draws) + 0.06), (k, want)
+        if inclusion is None:
+            assert rate[15] == rate[15] and all(a <= b + 0.08 for a, b in zip([rate[k] for k in range(14)], [rate[k] for k in range(1, 15)], strict=True))
 
 
 def test_targets_by_filling(spark):
@@ -95,6 +120,14 @@ def test_index_keeps_what_it_has(spark):
     kept = exact_dedup.deduplicate(again.withColumnRenamed("text", "text").selectExpr("*", "1 AS digest", "2 AS keep_id"))
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "d"), (7, "a"), (8, "c")] and kept.columns == ["doc_id", "text", "digest", "keep_id"]
     assert exact_dedup.deduplicate(first.limit(0)).collect() == []
+    # Sizes and the largest id follow later batches; a text that is rare at first and hot later is looked up apart.
+    many = spark.range(1000, 1400).selectExpr("id AS doc_id", "'b' AS text")
+    assert {(r.keep_id, r.group_size, r.kept) for r in exact_dedup.classes(many, index).collect()} == {(3, 401, False)}
+    assert {(r.keep_id, r.last_id, r.group_size) for r in reopened.read().collect() if r.keep_id == 2} == {(2, 7, 3)}
+    clash = first.selectExpr("*", "1 AS __digest", "2 AS own_id", "3 AS `a.b`", "4 AS doc")
+    assert sorted(tuple(r) for r in exact_dedup.deduplicate(clash, batches=2).collect()) == [(2, "a", 1, 2, 3, 4), (3, "b", 1, 2, 3, 4)]
+    index.forget()
+    assert not spark.catalog.tableExists(index.table)
 
 
 def test_tool_calls(spark):

@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling (built-in functions only).
 
-A source's target divided by its size gives each of its documents an expected number of copies. The
-whole part is certain; the rest is drawn: documents are ranked by the odds of a random number divided
-by the odds of their inclusion, and the first in that order are taken until the source's target in
-words is reached (Rosen's Pareto order sampling, with the fixed size counted in words). The random
-numbers are hashes of the id and a seed, so reruns agree.
-
-The order statistics come from histograms, never from a sort of a whole source: two rounds of counting
+A source's target divided by its size gives each of its documents a number of whole copies that is certain; the
+rest is drawn. Documents have inclusion weights (by size, unless told otherwise), and their inclusion probabilities are
+in proportion to these; those that would exceed one are certain, and the others share what they leave. Documents are
+ranked by the odds of a random number divided by the odds of their inclusion, and the first in that order are taken until
+the source's target in words is reached (Rosen's Pareto order sampling, with the fixed size counted in words). The
+random numbers are hashes of the id and a seed, so reruns agree.
+
+Weights are held to sixteenths of a power of two, so a source has some hundreds of them at most, and its
+probabilities come from sums by weight. The order statistics come from histograms, never from a sort of a whole source: two rounds of counting
 narrow the place where a source reaches its target to one fine bin, and only that bin is ranked.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents
 without words take nothing; ties of rank are broken by id and then by size, and rows alike in all of
 these are interchangeable; an empty table gives an empty result; inclusion weights that are null or
-not positive count as 1.
+not positive count as 1, and weights beyond 2**-64 and 2**64 as these.
 """
 
 from __future__ import annotations
@@ -92,21 +94,16 @@ def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED)
 
     ``narrow``: a written table of doc_id, source, size and w (inclusion weight).
     """
-    per_source = narrow.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w")
-    )
-    goals = targets(per_source.select("source", "source_size"), weights, most).withColumn(
+    by_weight = materialise(narrow.groupBy("source", "w").agg(F.sum("size").alias("words")), "weights")
+    per_source = by_weight.groupBy("source").agg(F.sum("words").alias("source_size"))
+    goals = targets(per_source, weights, most).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0)
     )
-    goals = materialise(
-        goals.join(per_source.select(F.col("source").alias("s"), "mean_w"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("source")
-        .withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))),
-        "goals",
-    )
+    goals = goals.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumnRenamed("source", "s")
+    goals = materialise(goals.join(rates(by_weight, goals), F.col("s").eqNullSafe(F.col("rate_source"))).drop("rate_source"), "goals")
     by_source = F.col("source").eqNullSafe(F.col("s"))
-    ranked = narrow.join(goals, by_source).drop("s").withColumn("rank01", rank(seed)).filter((F.col("need") > 0) & (F.col("size") > 0))
-    open_rows = materialise(ranked.select("doc_id", "source", "size", "need", "rank01"), "ranked")
+    ranked = narrow.join(goals, by_source).drop("s").withColumn("rank01", rank(seed)).filter((F.col("need") > 0) & (F.col("size") > 0) & ~certain())
+    open_rows = materialise(ranked.select("doc_id", "source", "size", (F.col("need") - F.col("sure")).alias("need"), "rank01"), "ranked")
 
     first = _narrow(open_rows.withColumn("low", F.lit(0.0)), "low", 1 / BINS)
     turn1 = materialise(_turn(first), "turn1")
@@ -133,10 +130,35 @@ def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED)
     return materialise(goals.join(cuts, F.col("s").eqNullSafe(F.col("cut_source")), "left").drop("cut_source"), "mixing_plan")
 
 
+def rates(by_weight: DataFrame, goals: DataFrame) -> DataFrame:
+    """Per source ``rate``, by which weights become probabilities, ``sure``, the words of certain documents, and ``most_w``.
+
+    From the greatest weight down, a weight is certain while what is needed beyond those above, shared by weight among
+    the rest, gives it one; ``most_w`` is the greatest weight that isn't. ``by_weight``: source, w, words.
+    """
+    rows = by_weight.filter("words > 0").join(goals.select("s", "need"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    down = Window.partitionBy("source").orderBy(F.col("w").desc())
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("open", (F.col("need") - above) * F.col("w") < rest * (1 - 1e-12))
+    rows = rows.withColumn("most_w", F.max(F.when(F.col("open"), F.col("w"))).over(Window.partitionBy("source")))
+    is_open = F.col("w") <= F.col("most_w")
+    per = rows.groupBy("source", "need", "most_w").agg(
+        F.sum(F.when(is_open, 0).otherwise(F.col("words"))).alias("sure"), F.sum(F.when(is_open, F.col("w") * F.col("words")).otherwise(0.0)).alias("shares")
+    )
+    rate = F.coalesce(F.try_divide(F.col("need") - F.col("sure"), F.col("shares")), F.lit(0.0))
+    found = per.select(F.col("source").alias("rate_source"), "most_w", "sure", rate.alias("rate"))
+    bare = goals.join(found, F.col("s").eqNullSafe(F.col("rate_source")), "left_anti").select(F.col("s").alias("rate_source"), F.lit(1.0).alias("most_w"), F.lit(0).cast("long").alias("sure"), F.lit(0.0).alias("rate"))
+    return found.unionByName(bare)
+
+
+def certain() -> Column:
+    return F.coalesce(F.col("w") > F.col("most_w"), F.lit(True))
+
+
 def rank(seed: int = SEED) -> Column:
     """Random odds by inclusion odds, as q / (1 + q): a monotone image of them in (0, 1)."""
-    share = F.try_divide(F.col("need"), F.col("source_size")) * F.try_divide(F.col("w"), F.col("mean_w"))
-    part = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), share))
+    part = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("rate") * F.col("w")))
     u = uniform(seed)
     odds = (u / (1 - u)) / (part / (1 - part))
     return odds / (1 + odds)
@@ -145,7 +167,7 @@ def rank(seed: int = SEED) -> Column:
 def decide(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """``rows(doc_id, source, size, w, ...)`` with the plan's columns, ``copies`` and ``taken``."""
     got = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank01", rank(seed))
-    drawn = (F.col("size") > 0) & (F.col("need") > 0) & F.when(
+    drawn = (F.col("size") > 0) & (F.col("need") > 0) & F.when(certain(), True).when(
         F.col("last").isNotNull(), F.struct("rank01", "doc_id", "size") <= F.col("last")
     ).otherwise(F.col("rank01") < F.col("floor"))
     copies = F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("int")
@@ -153,12 +175,13 @@ def decide(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def _measured(docs: DataFrame, inclusion: Column | None, *more: Column) -> DataFrame:
-    weight = F.coalesce(inclusion, F.lit(1.0)) if inclusion is not None else F.lit(1.0)
+    weight = words().cast("double") if inclusion is None else inclusion.cast("double")
+    sixteenths = F.round(F.log2(F.when(weight > 0, weight).otherwise(1.0)) * 16)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words().alias("size"),
-        F.when(weight > 0, weight).otherwise(1.0).cast("double").alias("w"),
+        F.pow(F.lit(2.0), F.greatest(F.lit(-1024), F.least(F.lit(1024), sixteenths)) / 16).alias("w"),
         *more,
     )
 
@@ -166,7 +189,7 @@ def _measured(docs: DataFrame, inclusion: Column | None, *more: Column) -> DataF
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, inclusion: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
-    ``inclusion``: relative inclusion weights of documents within their source; all alike by default.
+    ``inclusion``: relative inclusion weights of documents within their source; their sizes by default.
     """
     narrow = materialise(_measured(docs, inclusion), "sizes")
     return decide(narrow, plan(narrow, weights, most, seed), seed).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

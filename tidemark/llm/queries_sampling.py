@@ -33,14 +33,27 @@ WITH d AS (
   FROM c
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS whole FROM t
-), r AS (
-  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.whole,
-         greatest(0.0, g.target - g.whole * g.source_size) AS need,
+), l AS (
+  SELECT *, greatest(0.0, g.target - g.whole * g.source_size) AS need FROM g
+), x AS (
+  SELECT d.*, pow(2.0::DOUBLE, round(log2(greatest(size, 1)) * 16) / 16) AS w,
          (CAST('0x' || substr(sha256('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  FROM d
+), y AS (
+  SELECT source, w, sum(size)::BIGINT AS words FROM x WHERE size > 0 GROUP BY 1, 2
+), z AS (
+  SELECT y.*, need, (need - coalesce(sum(words) OVER (PARTITION BY y.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w
+         < sum(w * words) OVER (PARTITION BY y.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * (1 - 1e-12) AS is_open
+  FROM y JOIN l ON y.source IS NOT DISTINCT FROM l.source
+), p AS (
+  SELECT source, max(w) FILTER (is_open) AS most_w FROM z GROUP BY 1
+), q AS (
+  SELECT z.source, any_value(most_w) AS most_w, (any_value(need) - sum(CASE WHEN w > most_w THEN words ELSE 0 END)) / nullif(sum(CASE WHEN w > most_w THEN 0.0::DOUBLE ELSE w * words END), 0) AS rate
+  FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source GROUP BY 1
 ), o AS (
-  SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds
-  FROM (SELECT *, least(1 - 1e-9, greatest(1e-9, coalesce(need / nullif(source_size, 0), 0))) AS p FROM r)
+  SELECT *, CASE WHEN w > most_w THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds
+  FROM (SELECT x.*, l.source_size, l.target, l.whole, l.need, q.most_w, least(1 - 1e-9, greatest(1e-9, coalesce(rate, 0) * x.w)) AS p
+        FROM x JOIN l ON x.source IS NOT DISTINCT FROM l.source LEFT JOIN q ON x.source IS NOT DISTINCT FROM q.source)
 ), k AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM o
 )
