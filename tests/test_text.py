@@ -6,6 +6,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from tests_models import lines_model, sentence_model
 
 from tidemark.functions import text as X
 
@@ -15,18 +16,6 @@ TEXTS = [
 ]
 
 
-def lines_model(text, width=45):
-    total = 0
-    for paragraph in text.split("\n"):
-        used = 0
-        for w in paragraph.split():
-            if used and used + 1 + len(w) <= width:
-                used += 1 + len(w)
-            else:
-                total, used = total + 1, len(w)
-    return total
-
-
 def run(spark, column):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i INT, t STRING").select("i", column.alias("v")).collect()
     return [r.v for r in sorted(rows)]
@@ -38,8 +27,7 @@ def test_lines(spark):
 
 def test_words_and_sentences(spark):
     assert run(spark, X.words(F.col("t"))) == [t.split() for t in TEXTS]
-    cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?…])\s+(?=[A-ZĄĆĘŁŃÓŚŹŻ—–\-])", t) if s.strip()] or [t.strip()]
-    assert run(spark, X.sentences(F.col("t"))) == [cut(t) for t in TEXTS]
+    assert run(spark, X.sentences(F.col("t"))) == [sentence_model(t) for t in TEXTS]
 
 
 def test_small_functions(spark):

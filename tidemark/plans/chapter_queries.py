@@ -131,3 +131,36 @@ ORACLE_SQL["l8_stale_corrections"] = f"""
 WITH w AS ({WORDS_SQL}), n AS (SELECT chapter_num, count(*) AS n FROM w GROUP BY 1)
 SELECT w.chapter_num, CAST(token_idx AS INTEGER) AS lo, CAST(token_idx + 7 AS INTEGER) AS hi FROM w JOIN n ON n.chapter_num = w.chapter_num WHERE NOT (token_idx % 7 = 0 AND token_idx + 7 <= n)
 """
+
+_BOOKS = """SELECT conv_id AS book_id, string_agg('Rozdział ' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII'][turn + 1] || '. tura' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn) AS text
+FROM conversations GROUP BY 1"""
+_NUMBERS = ", ".join(f"('{k}', {v})" for k, v in (C.ordinals() | {C.roman_value(n).lower(): n for n in range(1, 51)}).items())
+_EDGE = "[ .:—–-]+"
+
+
+def _pattern_sql(k: int, name: str, pattern: str) -> str:
+    own = pattern.replace("(?iu)", "(?i)")
+    return f"""SELECT book_id, n AS text_len, '{name}' AS pattern, {k} AS pattern_no, ms AS match_start, ms + length(line) AS body_start, s, nx, regexp_extract(line, '{own}', 1) AS token,
+      regexp_replace(regexp_extract(line, '{own}', 2), '^{_EDGE}|{_EDGE}$', '', 'g') AS own_title FROM q WHERE regexp_matches(line, '{own}') AND s <> ''"""
+
+
+_HEADINGS = f"""
+l AS (SELECT book_id, n, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT book_id, length(text) AS n, string_split(text, chr(10)) AS ls FROM ({_BOOKS}))),
+p AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ms FROM l),
+q AS (SELECT *, first_value(CASE WHEN s <> '' THEN {{'ms': ms, 'line': s}} END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM p),
+f AS ({' UNION ALL '.join(_pattern_sql(k, *x) for k, x in enumerate(C.PATTERNS))}),
+t AS (SELECT *, CASE WHEN own_title <> '' THEN own_title
+        WHEN nx.ms < body_start + {C.SHORT_SPAN} AND length(nx.line) <= 90 AND NOT regexp_matches(nx.line, '^[—–-]') AND NOT regexp_matches(nx.line, '[.!?:]$') THEN nx.line ELSE '' END AS title, regexp_replace(lower(trim(token)), '\\s+', ' ', 'g') AS low FROM f),
+h AS (SELECT book_id, text_len, pattern, pattern_no, match_start, body_start, CASE WHEN contains(s, title) THEN s ELSE s || ' ' || title END AS header, CASE WHEN regexp_full_match(low, '\\d+') THEN TRY_CAST(low AS INTEGER) ELSE v END AS number, title,
+        CAST(row_number() OVER (PARTITION BY book_id, pattern_no ORDER BY match_start) - 1 AS INTEGER) AS idx FROM t LEFT JOIN (VALUES {_NUMBERS}) m(word, v) ON word = low)"""
+_SCORES = f"""
+g AS (SELECT *, coalesce(lead(match_start) OVER o, text_len) - body_start AS span, coalesce(number > lag(number) OVER o, true) AS rises FROM h WINDOW o AS (PARTITION BY book_id, pattern_no ORDER BY match_start)),
+c AS (SELECT book_id, pattern, pattern_no, count(*) AS n, count(number) = count(*) AND bool_and(rises) AS good, count(*) FILTER (span < {C.SHORT_SPAN}) AS tiny, avg(span) AS mean, stddev_pop(span) AS deviation FROM g GROUP BY 1, 2, 3),
+r AS (SELECT book_id, pattern, pattern_no, n, round(3 * greatest(0.0, 1 - abs(n - 4) / 4.0::DOUBLE) + CASE WHEN good THEN 1.5 ELSE 0 END - 0.5::DOUBLE * tiny + CASE WHEN mean > 0 THEN greatest(0.0, 1.5 - deviation / mean) ELSE 0 END, 3) AS score FROM c WHERE n >= 2)"""
+ORACLE_SQL["c2_headings"] = f"WITH {_HEADINGS} SELECT * FROM h"
+ORACLE_SQL["c4_scores"] = f"WITH {_HEADINGS}, {_SCORES} SELECT * FROM r"
+ORACLE_SQL["c6_chapters"] = f"""WITH {_HEADINGS}, {_SCORES},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, pattern_no) AS best FROM r WHERE score > 0) WHERE best = 1),
+o AS (SELECT h.*, coalesce(number, idx + 1) AS raw, coalesce(lead(match_start) OVER (PARTITION BY h.book_id ORDER BY match_start), text_len) AS text_end FROM h JOIN b ON b.book_id = h.book_id AND b.pattern_no = h.pattern_no)
+SELECT book_id, CAST(CASE WHEN row_number() OVER (PARTITION BY book_id, raw ORDER BY match_start) > 1 THEN idx + 1 ELSE raw END AS INTEGER) AS chapter_num, header, title, body_start AS text_start, text_end, 1.0::DOUBLE AS confidence FROM o
+"""
