@@ -77,10 +77,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("part", [3_000_000, 100])
-def test_scores(spark, part):
+def test_scores(spark, part, monkeypatch):
     texts = corpus()
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, "the b,")]
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).selectExpr("*", "1 AS n", "2 AS key", "3 AS score", "4 AS row")
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [(t or "").encode() for i, t in rows if not out(i)]
     tree = SlowTree(train, 3)
@@ -98,6 +98,12 @@ def test_scores(spark, part):
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5], rel=1e-5)
+    bytes_ = {i: len(ctw.stream((t or "").encode())) for i, t in rows}
+    assert all(r.bits_per_byte == pytest.approx(-want[r.doc_id][5] * math.log2(10) / bytes_[r.doc_id], rel=1e-5) for r in got)
+    # Texts are scored in chunks; one longer than a chunk is scored whole.
+    monkeypatch.setattr(lm_scoring, "CHUNK", 64)
+    again = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score) for r in got)
 
 
 def test_nothing_trained(spark):

@@ -18,6 +18,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -202,7 +203,7 @@ def _scores(model: LanguageModel, k: int, common):
     depth, whole = model.depth, len(model.parts) == 1
     schema = [("row", pa.int64()), ("text_key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("unseen", pa.list_(pa.int64()))]
     if common is not None:
-        schema += [("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_score", pa.float64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+        schema += [("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_score", pa.float64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("n_bytes", pa.int64())]
     schema = pa.schema(schema)
 
     def run(batches):
@@ -229,7 +230,7 @@ def _scores(model: LanguageModel, k: int, common):
                 sums = np.add.reduceat(bits, np.concatenate([[0], ends[:-1]]))
                 lists = _lists(np.searchsorted(ends, new, "right"), code[new], n, pa.int64())
                 columns = [np.arange(at + first, at + last), keys[first:last], ids[first:last], held[first:last], sums, lists]
-                columns += lookup.score(rows) if lookup is not None else []
+                columns += [*lookup.score(rows), sizes] if lookup is not None else []
                 return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
             for i, text in enumerate(as_bytes(batch.column(2))):
@@ -289,7 +290,7 @@ SCORED = "row LONG, text_key LONG, doc_id LONG, held_out BOOLEAN, score DOUBLE,
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length)."""
     scale = F.lit(model.tokens + SMOOTH * (model.types + 1))
     log = lambda n: F.log10((n + F.lit(SMOOTH)) / scale)
     often = model.words.filter(F.col("n") > F.lit(model.tokens / COMMON)).select("key", log(F.col("n")).alias("log")).toArrow()
@@ -297,7 +298,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     order = np.argsort(keys)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    wide = SCORED + ", n_tokens LONG, n_common LONG, common_score DOUBLE, keys ARRAY<LONG>, times ARRAY<INT>"
+    wide = SCORED + ", n_tokens LONG, n_common LONG, common_score DOUBLE, keys ARRAY<LONG>, times ARRAY<INT>, n_bytes LONG"
     first = materialise(rows.mapInArrow(_scores(model, 0, (keys[order], logs[order])), wide), "scored")
     out = first.drop("keys", "times")
     for k in range(1, len(model.parts)):  # rows alike in id and text have one score
@@ -312,6 +313,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         tail.join(model.words, "key", "left").groupBy("row")
         .agg(F.sum(F.col("times") * log(F.coalesce("n", F.lit(0)))).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     )
+    total = F.col("score") + F.coalesce("unseen_score", F.lit(0.0))
     return out.join(sums, "row", "left").join(bits, "row", "left").select(
         "doc_id",
         "held_out",
@@ -319,5 +321,6 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         (F.col("n_common") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("unseen_score", F.lit(0.0))).alias("score"),
+        total.alias("score"),
+        (-total * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
