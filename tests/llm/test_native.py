@@ -8,6 +8,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, licences, mixing, queries_dedup, queries_licences, queries_sampling, tool_calls
 
@@ -154,6 +155,11 @@ def test_tool_calls(spark):
     lost = by[1, "lost", 9]
     assert lost.status == "orphan" and lost.valid is None and json.loads(lost.json)["result"] == "é\n"
     assert tool_calls.link(calls.limit(0), results.limit(0), schema).collect() == []
+    # Arguments under another name, and with a repeated key; a very long text and columns that clash.
+    own = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ('{"b": "' + "x" * 100_000 + '"}',)], "args STRING").withColumn("arguments", F.lit("{}"))
+    parameters = F.array(F.struct(F.lit("a").alias("parameter"), F.lit("integer").alias("kind"), F.lit(True).alias("required"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("most")))
+    found = [r.e for r in own.select(tool_calls.errors(F.col("args"), parameters).alias("e")).collect()]
+    assert found[0] == [] and found[1] == ["no object"] and found[2] == ["missing a", "unknown b"]
 
 
 def test_chain_levels(spark):

@@ -1,6 +1,7 @@
 """Linking tool calls to their results (built-in functions only).
 
-Calls and results are joined by conversation and identifier with hashed keys; calls are put in topological
+Calls and results are joined by conversation and identifier with hashed keys (each partition is sorted and merged, which
+spills where a hash table would not); calls are put in topological
 order by following ``after`` (the latest call whose result a call may use) with doubling strides, so a
 conversation of n turns needs log2(n) joins; arguments are checked against the tool's schema; and each
 call with its result is written as canonical JSON: keys sorted, no white space, as Spark's VARIANT has it.
@@ -10,7 +11,7 @@ are null); of several results of a call the one with the lowest position, then t
 of several calls with one identifier likewise, by position and then arguments, and the others are marked
 ``repeated``; an ``after`` that names no call counts as none; calls that depend on themselves in a circle
 are ``cyclic`` and have no level; null identifiers link to nothing; arguments that are null or no JSON
-object are invalid; tools without a schema make a call invalid; an empty table gives an empty result.
+object, or that repeat a key, are invalid and null in the JSON; tools without a schema make a call invalid; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _kind(value: Column) -> Column:
 def errors(arguments: Column, parameters: Column) -> Column:
     """What is wrong with ``arguments`` (JSON text) by ``parameters`` (an array of PARAMETERS less the name)."""
     values = F.from_json(arguments, "map<string,string>")
-    kinds = F.expr("cast(try_parse_json(arguments) as map<string,variant>)")
+    kinds = F.try_parse_json(arguments).cast("map<string,variant>")
 
     def check(p: Column) -> Column:
         text, kind = F.element_at(values, p["parameter"]), _kind(F.element_at(kinds, p["parameter"]))
