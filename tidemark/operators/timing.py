@@ -54,11 +54,12 @@ def insert_words(own: DataFrame) -> DataFrame:
     """Words of ``insert_texts`` with times: chapter_num, anchor, k, word, start, end.
 
     Typed and heard words (``words``, with s and e) are aligned; those of equal blocks take the heard word's time, and
-    those between two such share what lies between, 0.02 s each at least. Where nothing was heard or nothing fits, all
-    share the insert's span.
+    those between two such share what lies between, 0.02 s each at least. Where nothing was heard or nothing fits (or there is
+    no such column), all share the insert's span.
     """
     norm = lambda ws: F.transform(ws, X.normal_word)
-    heard = F.coalesce("words", F.array().cast(own.schema["words"].dataType))
+    none = F.array().cast("array<struct<w:string,s:double,e:double>>")
+    heard = F.coalesce(F.col("words").cast("array<struct<w:string,s:double,e:double>>"), none) if "words" in own.columns else none
     pairs = own.withColumn("hw", heard).withColumn("at", A.block_places(norm(F.col("ws")), norm(F.transform("hw", lambda w: w["w"]))))
     rows = pairs.select("chapter_num", "anchor", "start_time", "end_time", "n", "hw", "at", F.posexplode("ws").alias("k", "word")).withColumn("m", F.get("at", F.col("k")))
     rows = rows.withColumn("hit", F.when(F.col("m") >= 0, F.get("hw", F.col("m")))).drop("hw", "at")

@@ -49,3 +49,8 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         spark, path = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan needs any more; it does so when the driver's JVM collects its garbage."""
+    spark._jvm.System.gc()
