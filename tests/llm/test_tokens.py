@@ -110,3 +110,41 @@ def test_packing(spark, library, length):
             at += n
         assert at == length or at & (at - 1) == 0
     assert packing.pack(rows(spark).limit(0)).collect() == []
+
+
+def test_packing_follows_the_curve(spark, library):
+    """Documents lie in the stream in order of their Hilbert keys, long ones in one stretch, whatever the columns around them."""
+    from tidemark.llm import packing
+
+    rng = random.Random(3)
+    topics = [[f"t{t}w{k}" for k in range(30)] for t in range(6)]
+    texts = [" ".join(rng.choice(topics[k % 6]) for _ in range(rng.choice([3, 40, 300, 6000]))) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").selectExpr("*", "1 AS place", "2 AS ids", "3 AS start", "4 AS total")
+    got = sorted(packing.pack(docs, length=512).collect(), key=lambda r: (r.sequence_id, r.offset))
+    ids = [[*library.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    slots = [[(i * 2654435761 % 2**32) >> 24 for i in x[:-1]] for x in ids]
+    places = packing.curve_places(np.array([np.bincount(s, minlength=packing.FEATURES) for s in slots], np.float64)).tolist()
+    order = [r.doc_id for k, r in enumerate(got) if k == 0 or got[k - 1].doc_id != r.doc_id]
+    assert sorted(order) == list(range(60))  # each in one stretch
+    assert [places[d] for d in order] == sorted(places)
+    whole = {}
+    for r in got:
+        assert r.start == len(whole.setdefault(r.doc_id, []))
+        whole[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert [whole[k] for k in range(60)] == ids
+    near = np.mean([a % 6 == b % 6 for a, b in zip(order, order[1:])])
+    assert near > 0.4  # documents of one topic lie together: one in six would by chance
+
+
+def test_two_segments_in_a_shard(spark, library, monkeypatch):
+    """A shard of several segments, columns that clash, and a document longer than a segment."""
+    monkeypatch.setattr(planes, "SEGMENT", 700)
+    docs = spark.createDataFrame([(k, "one two " * n) for k, n in enumerate([5, 300, 3, 40, 1000, 0, 200])], "doc_id LONG, text STRING").selectExpr("*", "1 AS shard", "2 AS segment", "3 AS base")
+    path = planes.new_path(spark)
+    planes.write(docs, path, shards=1)
+    assert spark.read.parquet(path).count() >= 3
+    at = 0
+    for r in sorted(planes.read_documents(spark, path).collect(), key=lambda r: r.doc_id):
+        want = [*library.encode(docs.filter(f"doc_id = {r.doc_id}").first().text, add_special_tokens=False).ids, planes.END]
+        assert (r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (at, want)
+        at += len(want)
