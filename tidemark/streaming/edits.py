@@ -14,12 +14,15 @@ OUT = "chapter_num LONG, breaks ARRAY<INT>, rejected INT"
 
 
 def running_breaks(ops: DataFrame, n_words: int, first: list[int]) -> DataFrame:
-    """Breaks of each chapter after every batch of ``ops`` (streaming; splits, merges and moves of book boards)."""
+    """Breaks of each chapter after every batch of ``ops`` (streaming; splits, merges and moves of book boards, and resets to ``first``)."""
 
     def run(key, batches, state: GroupState):
         size, breaks, rejected = state.get if state.exists else (n_words, first, 0)
         chapter = Chapter([""] * size, list(breaks))
         for o in pd.concat(list(batches)).sort_values("op_id").itertuples(index=False):
+            if o.op == "reset":
+                chapter = Chapter([""] * size, list(first))
+                continue
             try:
                 chapter.apply(o)
             except Rejected:
