@@ -100,3 +100,14 @@ def test_classes(spark):
             assert (r.fp, r.component_id) == (simhash._signed(fps[r.doc_id]), want[r.doc_id])
     assert want[3] == want[5] == want[9] == 3 and want[7] == 2
     assert simhash.classes(docs.limit(0)).collect() == []
+
+
+def test_dense_cluster(spark):
+    """A cluster of 20,000 distinct fingerprints is one component, dealt over many tasks and not copied level by level."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = [simhash._signed(base ^ k) for k in rng.sample(range(1 << 15), 20_000)]
+    far = [simhash._signed(base ^ (rng.getrandbits(30) << 20)) for _ in range(50)]
+    table = spark.createDataFrame([(x,) for x in dict.fromkeys(fps + far)], "fp LONG")
+    got = components.components(simhash.links(table)).filter(F.col("node").isin(fps[:2000])).groupBy("component").count().collect()
+    assert [r["count"] for r in got] == [2000]
