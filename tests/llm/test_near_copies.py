@@ -66,18 +66,52 @@ def test_stage_keeps_one_of_each_component(spark):
 
 
 def test_pairs_left_in_a_bucket_are_compared(spark, monkeypatch):
-    """With tables of one minimum hash, buckets mix components; the links left must still be found, by stars or at once."""
-    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: hashes[:1].repeat(near_copies.BANDS) * 0)
+    """Where all sets meet in one bucket, the links must still be found, by rounds of centers or at once."""
+    monkeypatch.setattr(near_copies, "prefix", lambda hashes, levels: hashes[:1] * 0)
+    monkeypatch.setattr(near_copies, "CENTERS", 3)
+    monkeypatch.setattr(near_copies, "by_fingerprint", lambda links: links.check(spark.createDataFrame([], "a LONG, b LONG")))
     rows = texts()[:60]
     docs = spark.createDataFrame([(k, t, "en", "src0", 0) for k, t in enumerate(rows)], DOCS)
-    for stars in (0, 3):
-        monkeypatch.setattr(near_copies, "STARS", stars)
+    for rounds, few in ((0, 0), (3, 0), (3, 100)):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "FEW", few)
         assert sorted(r.doc_id for r in near_copies.deduplicate(docs).collect()) == expected(rows)
 
 
-def test_limit_is_exact():
+def test_prefixes_meet_in_reach():
+    """Any two sets that overlap by 0.8 share a shingle of their prefixes, whose place lets the pair through."""
     import numpy as np
 
-    a = np.arange(9, dtype=np.uint64)
-    assert near_copies.alike(a, a[:8]) and near_copies.alike(np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64))
-    assert not near_copies.alike(np.arange(10, dtype=np.uint64), np.arange(7, dtype=np.uint64)) and near_copies.alike(a, a)
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 20, near_copies.SLOTS).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if len(b) and 9 * common >= 4 * (len(a) + len(b)):
+            x, y = near_copies.prefix(a, levels).tolist(), near_copies.prefix(b, levels).tolist()
+            i = next(k for k, h in enumerate(x) if h in y)
+            j = y.index(x[i])
+            assert 9 * min(len(a) - i, len(b) - j) >= 4 * (len(a) + len(b))
+            last = min(x[-1], y[-1])
+            p, q = {k for k in x if k <= last}, {k for k in y if k <= last}
+            most = len(p & q) + min(len(a) - len(p), len(b) - len(q))
+            assert common <= most and 9 * most >= 4 * (len(a) + len(b))
+
+
+def test_awkward_columns(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, None), (None, ""), (7, "x " * 30000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").selectExpr("*", "1 AS mark", "2 AS node", "3 AS doc", "4 AS `a.b`", "5 AS __mark")
+    got = near_copies.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.mark, r.node, r.doc, r[5], r[6]) for r in got.collect()) == [(0, 1, 2, 3, 4, 5)] * 2 + [(1, 1, 2, 3, 4, 5), (7, 1, 2, 3, 4, 5)]
+    assert near_copies.deduplicate(docs.limit(0)).collect() == []
+
+
+def test_limit_is_exact(spark):
+    for n, m, same, linked in [(9, 8, 8, True), (10, 8, 8, True), (10, 7, 7, False), (9, 9, 9, True), (9, 9, 8, True), (9, 9, 7, False), (1, 1, 0, False)]:
+        a, b = list(range(n)), [*range(same), *range(100, 100 + m - same)]
+        row = spark.createDataFrame([(a, b)], "a ARRAY<LONG>, b ARRAY<LONG>").select(near_copies.alike("a", "b").alias("x")).first()
+        assert row.x == linked == (10 * same >= 8 * (n + m - same))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import discard, materialise, scratch_path
+from tidemark.sources.scratch import discard, materialise, release_shuffles, scratch_path
 
-__all__ = ["attach", "discard", "documents", "materialise", "named", "partitions", "scratch_path", "staying", "text_or_empty"]
+__all__ = ["attach", "discard", "documents", "materialise", "named", "partitions", "release_shuffles", "scratch_path", "staying", "text_or_empty"]
 
 #: A word is a maximal run of characters that aren't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
