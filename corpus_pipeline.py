@@ -35,9 +35,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs).withColumn("length", F.expr("octet_length(ids) div 4"))
+    return packing.pack(docs, memory=MEMORY).withColumn("length", F.expr("octet_length(ids) div 4"))
 
 
+#: Chunks that a worker's encoder remembers: some 20 MB, as executors that ran the stages before have less room.
+MEMORY = 60_000
 STAGES = [
     ("language_id", language_id),
     ("exact_duplicates", exact_duplicates),
