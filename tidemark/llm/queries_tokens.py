@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, planes
+from tidemark.llm import packing, planes, token_links
 from tidemark.llm._shared import documents
 
 
@@ -28,5 +28,11 @@ def op7_curve_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op2_bit_planes": op2_bit_planes, "op7_curve_packing": op7_curve_packing}
+def op12_token_links(spark, sf_dir):
+    import public_tokenizers
+
+    return token_links.scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op12_token_links": op12_token_links, "op2_bit_planes": op2_bit_planes, "op7_curve_packing": op7_curve_packing}
 ORACLE_SQL: dict[str, str] = {}
