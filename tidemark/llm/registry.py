@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_chat, queries_dedup, queries_leaks, queries_licences, queries_sampling, queries_text, queries_tokens
+from tidemark.llm import queries_chat, queries_dedup, queries_leaks, queries_licences, queries_sampling, queries_text, queries_tokens, queries_words
 
-_MODULES = [queries_chat, queries_dedup, queries_leaks, queries_licences, queries_sampling, queries_text, queries_tokens]
+_MODULES = [queries_chat, queries_dedup, queries_leaks, queries_licences, queries_sampling, queries_text, queries_tokens, queries_words]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
