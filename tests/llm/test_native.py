@@ -131,6 +131,18 @@ def test_index_keeps_what_it_has(spark):
     assert not spark.catalog.tableExists(index.table)
 
 
+def test_batch_that_comes_again(spark):
+    """A driver that is lost behind an insert appends its batch once more under the same name."""
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id LONG, text STRING")
+    for _ in range(2):
+        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.classes(docs, index, batches=2, batch="monday").collect())
+        assert [(d, n) for d, _, n, _ in got] == [(1, 2), (2, 2), (3, 1)] and sum(k for *_, k in got) == 2
+    more = exact_dedup.classes(docs.limit(1), index, batch="tuesday").first()
+    assert (more.group_size, more.kept) == (3, more.doc_id == more.keep_id)
+    index.forget(files=True)
+
+
 def test_tool_calls(spark):
     schema = spark.createDataFrame([("add", "a", "integer", True, 0.0, 9.0), ("add", "b", "number", False, None, None)], tool_calls.PARAMETERS)
     calls = spark.createDataFrame(
@@ -139,10 +151,11 @@ def test_tool_calls(spark):
             (1, "w", 6, "sub", "{}", "gone"), (1, "v", 7, "add", "nonsense", "z"), (2, "p", 0, "add", None, "q"), (2, "q", 1, "add", '{"b": 1}', "p"), (2, None, 3, "add", '{"a": 1}', None),
         ], tool_calls.CALLS,
     )
-    results = spark.createDataFrame([(1, "x", 1, "3.5"), (1, "x", 3, "later"), (1, "lost", 9, "é\n"), (2, None, 4, "?")], tool_calls.RESULTS)
+    results = spark.createDataFrame([(1, "x", 1, "3.5"), (1, "x", 3, "later"), (1, "lost", 9, "é\n"), (2, None, 4, "?"), (2, None, 5, "!"), (None, "x", 6, "no"), (1, "lost", 10, "more")], tool_calls.RESULTS)
     got = tool_calls.link(calls, results, schema).collect()
     by = {(r.conv_id, r.call_id, r.position): r for r in got}
-    assert len(got) == len(calls.collect()) + 2
+    assert len(got) == len(calls.collect()) + 5  # each result without a call is a row
+    assert sorted((r.position, json.loads(r.json)["result"]) for r in got if r.status == "orphan") == [(4, "?"), (5, "!"), (6, "no"), (9, "é\n"), (10, "more")]
     x = by[1, "x", 0]
     assert (x.level, x.status, x.valid, x.errors) == (0, "linked", True, "")
     assert x.json == '{"arguments":{"a":1,"b":2.5},"call_id":"x","name":"add","result":"3.5"}'

@@ -43,3 +43,17 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
     assert empty.collect() == []
+
+
+def test_awkward_columns_through_all_stages(spark):
+    """Names with dots, and those that stages use themselves, pass untouched; a very long text too."""
+    extra = ["a.b", "c.d.e", "doc", "mark", "size", "digest", "node", "copies", "words", "own_id", "target", "ids"]
+    rows = [(*r, *range(len(extra))) for r in [*documents(), (600, "the river house " * 40_000, "en", "src2", 0)]]
+    kinds = DOCS + "".join(", `" + c.replace("`", "``") + "` INT" for c in extra)
+    docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, ""), name)
+        assert docs.columns == [*DOCS.replace(" LONG", "").replace(" STRING", "").split(", "), *extra]
+        assert {tuple(r)[5:] for r in docs.collect()} == {tuple(range(len(extra)))}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and 600 in {r.doc_id for r in packed}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import discard, materialise, release_shuffles, scratch_path
 
-__all__ = ["attach", "discard", "documents", "materialise", "named", "partitions", "release_shuffles", "scratch_path", "staying", "text_or_empty"]
+__all__ = ["attach", "discard", "documents", "materialise", "named", "partitions", "release_shuffles", "scratch_path", "staying", "text_or_empty", "whole_row"]
 
 #: A word is a maximal run of characters that aren't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,11 @@ def attach(rows: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one named ``doc``, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("doc")
+
+
 def named(docs: DataFrame) -> DataFrame:
     """``doc_id, text, mark``: what decisions on documents need, ``mark`` being a hash of the text; other columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("mark"))
@@ -56,6 +61,6 @@ def named(docs: DataFrame) -> DataFrame:
 def staying(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``keep(first)`` names by id and mark, with all their columns as they are."""
     keep = materialise(keep.select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark")), "keep")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_mark"))
+    whole = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_mark"))
     kept = whole.join(keep, (F.col("own_mark") == F.col("mark")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
     return kept.select("doc.*")

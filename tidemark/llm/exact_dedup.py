@@ -8,7 +8,7 @@ appended too. Reading adds these up within the buckets, so sizes stay right howe
 Defined cases: a null text counts as empty; texts are equal when their bytes are; of equal texts in a
 batch the largest ``doc_id`` stays (null ids lose to any other), and a text of an earlier batch keeps that one's
 row; rows that repeat both id and text are one decision, ``kept`` on each of them, and ``deduplicate`` returns
-one of them; an empty table gives an empty result; other columns pass through ``deduplicate`` untouched whatever
+one of them; a batch that comes again under its name changes nothing; an empty table gives an empty result; other columns pass through ``deduplicate`` untouched whatever
 their names.
 """
 
@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import discard, materialise, partitions, scratch_path, text_or_empty
+from tidemark.llm._shared import discard, materialise, partitions, scratch_path, text_or_empty, whole_row
 
 #: A digest is hot from this share of a batch's rows; so at most HOT_SHARE digests are hot.
 HOT_SHARE, HOT_LEAST = 2000, 64
@@ -38,7 +38,7 @@ class DigestIndex:
         self.buckets = buckets or partitions(spark)
         self.table = f"digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest STRING, id BIGINT, n BIGINT, is_first BOOLEAN) USING parquet "
+            f"CREATE TABLE {self.table} (digest STRING, id BIGINT, n BIGINT, is_first BOOLEAN, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -57,17 +57,26 @@ class DigestIndex:
             .agg(F.max(F.when(F.col("is_first"), F.col("id"))).alias("keep_id"), F.max("id").alias("last_id"), F.sum("n").alias("group_size"))
         )
 
-    def append(self, digests: DataFrame) -> DataFrame:
-        """Add the texts of ``digests(doc_id, digest)``; returns the new ones, one row per text: digest, id, n."""
+    def append(self, digests: DataFrame, batch: str | None = None) -> DataFrame:
+        """Add the texts of ``digests(doc_id, digest)``; returns the new ones, one row per text: digest, id, n.
+
+        A batch with a name is added once: if the index has it already, as after a driver that was lost behind the
+        insert, nothing is added and the texts that were new then are returned. Without a name each call is a batch.
+        """
+        known = self.spark.table(self.table)
+        if batch is not None and known.filter(F.col("batch") == batch).limit(1).count():
+            return known.filter((F.col("batch") == batch) & F.col("is_first")).select("digest", "id", "n")
         # Written first: the optimizer would push an anti-join below the partial aggregation.
-        batch = materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "batch")
-        seen = self.spark.table(self.table).filter("is_first").select("digest")
-        new = materialise(batch.hint("merge").join(seen, "digest", "left_anti"), "new_digests")
-        again = batch.hint("merge").join(seen, "digest", "left_semi")
-        rows = materialise(new.withColumn("is_first", F.lit(True)).unionByName(again.withColumn("is_first", F.lit(False))), "index_rows")
+        own = materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "batch")
+        seen = known.filter("is_first").select("digest")
+        new = materialise(own.hint("merge").join(seen, "digest", "left_anti"), "new_digests")
+        again = own.hint("merge").join(seen, "digest", "left_semi")
+        rows = new.withColumn("is_first", F.lit(True)).unionByName(again.withColumn("is_first", F.lit(False)))
+        rows = materialise(rows.withColumn("batch", F.lit(batch or uuid.uuid4().hex)), "index_rows")
+        # One insert, committed as one: a batch is in the index or it isn't.
         rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
-        discard(batch, rows)
+        discard(own, rows)
         return new
 
     def resolve(self, digests: DataFrame, total: int, latest: bool = False) -> DataFrame:
@@ -93,16 +102,17 @@ class DigestIndex:
         )
 
 
-def classes(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
+def classes(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an ``index`` that holds earlier batches, a text seen before keeps the earlier row's id. Without one,
-    ``docs`` goes into a new index in so many ``batches``, and the largest id of all stays.
+    ``docs`` goes into a new index in so many ``batches``, and the largest id of all stays. ``batch`` names
+    ``docs`` in the index, so that a call that is repeated gives the same result.
     """
     own = index or DigestIndex(docs.sparkSession)
     digests = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest")), "batch_digests")
     for k in range(batches):
-        own.append(digests if batches == 1 else digests.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        own.append(digests if batches == 1 else digests.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), batch and f"{batch}/{k}")
     found = own.resolve(digests, digests.count(), latest=index is None).select(
         "doc_id",
         "keep_id",
@@ -122,6 +132,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batches: int
     keep = classes(docs, index, batches).filter("kept").select("doc_id", "text_sha256")
     same = keep.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     # The id alone would do if it were unique; the digest keeps apart rows that share one.
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), digest().alias("own_digest"))
+    whole = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("own_id"), digest().alias("own_digest"))
     rows = whole.join(keep.distinct(), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("text_sha256")), "left_semi")
     return (rows.dropDuplicates(["own_digest"]) if same else rows).select("doc.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WORD, materialise, text_or_empty
+from tidemark.llm._shared import WORD, materialise, text_or_empty, whole_row
 
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -201,5 +201,5 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     Texts aren't shuffled: the plan has one row a source, and each row decides for itself.
     """
     narrow = materialise(_measured(docs, inclusion), "sizes")
-    rows = decide(_measured(docs, inclusion, F.struct(*(F.col(c) for c in docs.columns)).alias("doc")), plan(narrow, weights, most, seed), seed)
+    rows = decide(_measured(docs, inclusion, whole_row(docs)), plan(narrow, weights, most, seed), seed)
     return rows.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -1,13 +1,12 @@
 """Linking tool calls to their results (built-in functions only).
 
-Calls and results are joined by conversation and identifier with hashed keys (each partition is sorted and merged, which
-spills where a hash table would not); calls are put in topological
-order by following ``after`` (the latest call whose result a call may use) with doubling strides, so a
+Calls and results are hash-joined by conversation and identifier (the hash tables hold calls, one an identifier, a
+partition of them at a time); calls are put in topological order by following ``after`` (the latest call whose result a call may use) with doubling strides, so a
 conversation of n turns needs log2(n) joins; arguments are checked against the tool's schema; and each
 call with its result is written as canonical JSON: keys sorted, no white space, as Spark's VARIANT has it.
 
 Defined cases: a call without result is ``pending`` and a result without call an ``orphan`` (its call columns
-are null); of several results of a call the one with the lowest position, then the least content, counts;
+are null), each such result a row; of several results of a call the one with the lowest position, then the least content, counts;
 of several calls with one identifier likewise, by position and then arguments, and the others are marked
 ``repeated``; an ``after`` that names no call counts as none; calls that depend on themselves in a circle
 are ``cyclic`` and have no level; null identifiers link to nothing; arguments that are null or no JSON
@@ -99,11 +98,15 @@ def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFra
     # Rows of an identifier are few unless it is repeated; null identifiers are set apart first.
     named = calls.filter("call_id is not null and conv_id is not null").withColumn("nth", F.row_number().over(nth))
     first = materialise(named.filter("nth = 1").drop("nth"), "calls")
+    ids = first.select("conv_id", "call_id", F.lit(True).alias("known"))
+    met = materialise(results.join(ids.hint("shuffle_hash"), ["conv_id", "call_id"], "left"), "results")
     answer = (
-        results.groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "content")).alias("r"))
+        met.filter("known").groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "content")).alias("r"))
         .select("conv_id", "call_id", F.col("r.content").alias("content"), F.lit(True).alias("answered"), F.col("r.position").alias("answered_at"))
     )
-    linked = first.withColumn("called", F.lit(True)).join(answer, ["conv_id", "call_id"], "full")
+    # Each result without a call is a row of its own; null identifiers name no call.
+    orphans = met.filter("known IS NULL").select("conv_id", "call_id", "content", F.lit(True).alias("answered"), F.col("position").alias("answered_at"))
+    linked = first.withColumn("called", F.lit(True)).join(answer.hint("shuffle_hash"), ["conv_id", "call_id"], "left").unionByName(orphans, allowMissingColumns=True)
     others = named.filter("nth > 1").drop("nth").unionByName(calls.filter("call_id is null or conv_id is null"))
     rows = linked.unionByName(others.withColumn("repeated", F.lit(True)), allowMissingColumns=True)
     out = rows.join(table, "name", "left").join(levels(first), ["conv_id", "call_id"], "left")
