@@ -35,7 +35,7 @@ def brute(rows):
     for text in rows:
         whole = (" " + (text or "")).encode()
         x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
-        p, q = ([t.get(k, b"?") for k in ids] for ids, t in ((x, aligner.a_bytes), (y, aligner.b_bytes)))
+        p, q = ([t[k] for k in ids] for ids, t in ((x, aligner.a_bytes), (y, aligner.b_bytes)))
         if b"".join(p) != whole or b"".join(q) != whole:
             found.append((0, 0, [], []))
             continue
@@ -74,20 +74,31 @@ def test_against_libraries(spark, monkeypatch, hot):
     assert [k for k in range(len(rows)) if got[k] != want[k]] == []
 
 
-def test_packed_and_integer_bits_agree():
+def test_ranks_of_shared_cuts():
     rng = np.random.default_rng(2)
     for _ in range(200):
         n = int(rng.integers(1, 400))
         a, b = (np.unique(np.append(rng.integers(1, n + 1, int(rng.integers(1, 60))), n)) for _ in range(2))
+        cuts = sorted(set(a.tolist()) & set(b.tolist()))
         x, y = L.rank_groups(a, b, n)
-        assert (x.tolist(), y.tolist()) == L.bit_groups(a.tolist(), b.tolist())
+        assert (x.tolist(), y.tolist()) == ([sum(a <= c) for c in cuts], [sum(b <= c) for c in cuts])
+
+
+def test_giant_groups_and_small_parts(spark, monkeypatch):
+    """Groups whose links are counted by distinct ids, texts in parts of a few bytes, and a cache that turns over all the time."""
+    for name, value in (("GIANT", 1), ("BYTES", 50), ("CACHE", 5)):
+        monkeypatch.setattr(L, name, value)
+    rows = texts()[:60] + ["", None, "日本" * 300]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id LONG, text STRING")
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in L.scored(docs, A, B).collect()}
+    assert [got[k] for k in range(len(rows))] == brute(rows)
 
 
 def test_groups_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "the cat"), (1, None)], "doc_id LONG, text STRING")
     rows = {r.doc_id: r for r in L.aligned(docs, A, B).collect()}
     aligner = L.Aligner(A, B)
-    assert rows[None].groups == ";".join(f"{a}|{b}" for a, b in zip(aligner.a_ids(" the") + aligner.a_ids(" cat"), aligner.b_ids(" the") + aligner.b_ids(" cat"), strict=True))
+    assert rows[None].groups == ";".join(f"{a}|{b}" for a, b in zip(aligner.a_ids(" the") + aligner.a_ids(" cat"), sum(aligner.b_ids([" the", " cat"]), []), strict=True))
     assert len(rows[None].pairs) == 2
     assert rows[1].groups == "" and rows[1].groups_sha256 == "" and rows[1].n_links == 0
     assert L.scored(docs.limit(0), A, B).collect() == []

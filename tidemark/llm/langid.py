@@ -353,4 +353,6 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float
             found = [identify_text(t, scorer, switch) for t in as_bytes(batch.column(at))]
             yield batch.filter(pa.array([lang != UNKNOWN and share >= least for lang, share, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Under plain names meanwhile, as a schema given by names would take dots apart.
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
