@@ -22,6 +22,13 @@ def prose(seed, n=200):
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", ",", "."]) for _ in range(n))
 
 
+def plain_form(text):
+    """The search form by its definition: what each sign gives, spaces in a row once."""
+    kept = [(c.lower() if c.isalnum() else " ", k) for k, c in enumerate(text)]
+    kept = [x for n, x in enumerate(kept) if x[0] != " " or n and kept[n - 1][0] != " "]
+    return "".join(s for s, _ in kept), [k for _, k in kept]
+
+
 def test_headings_and_scores(spark):
     text = "Wstęp\n\nRozdział pierwszy. Dom\n" + prose(1) + "\n\nROZDZIAŁ II\n\nLas\n" + prose(2) + "\nRozdział 3\n" + prose(3)
     found = C.headings(spark.createDataFrame([("b", text)], "book_id STRING, text STRING"))
@@ -39,34 +46,73 @@ def test_places_of_search_form(spark):
     texts = ["", " — ", "Ala ma  kota.", "x", "  x1,y ", "żółw!!", "a\n\nb "]
     got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", X.search_places(F.col("t")).alias("p"), X.search_form(F.col("t")).alias("f")).collect()
     for r in got:
-        form, places = M.normal_form(r.t)
+        form, places = plain_form(r.t)
         assert (r.f, list(r.p)) == (form, places)
         assert [r.t[p].lower() if r.t[p].isalnum() else " " for p in places] == list(form)
 
 
-def test_anchor_search():
+def anchor(spark, said, text):
+    books = spark.createDataFrame([("b", text)], "book_id STRING, text STRING")
+    r = M.book_anchors(books, spark.createDataFrame([("b", 1, said)], "book_id STRING, snippet_id INT, words ARRAY<STRING>")).first()
+    return r.place, r.confidence
+
+
+def test_anchor_search(spark):
     text = prose(5, 600)
-    form, _ = M.normal_form(text)
+    form, places = M.search_index(text)
     said = text.split()[300:340]
-    place, how = M.find_anchor(said, form)
-    assert form[place:].startswith(M.normal_form(" ".join(said[:5]))[0]) and how >= 0.75
-    place, how = M.find_anchor(["dzień", "dobry", "państwu", *said], form)  # an introduction that isn't in the book
-    assert form[place:].startswith(M.normal_form(" ".join(said[1:4]))[0]) and how >= 0.75
-    assert M.find_anchor(said, form, place + 400)[0] != place
+    behind = lambda place: plain_form(text[place:])[0]
+    place, how = anchor(spark, said, text)
+    assert behind(place).startswith(plain_form(" ".join(said[:5]))[0]) and how >= 0.75
+    place, how = anchor(spark, ["dzień", "dobry", "państwu", *said], text)  # an introduction that isn't in the book
+    assert behind(place).startswith(plain_form(" ".join(said[1:4]))[0]) and how >= 0.75
+    inside = anchor(spark, said, text.replace(said[0], "nie" + said[0], 1).replace(f" {said[0]} ", f" nie{said[0]} "))
+    assert inside[1] >= 0.75  # the first of five words may be part of a word
     broken = [w if k % 4 else "inne" for k, w in enumerate(said)]  # no five words as they stand: a scan at a step
-    place, how = M.find_anchor(broken, form)
-    whole = M.normal_form(" ".join(broken))[0]
+    place, how = anchor(spark, broken, text)
+    whole = plain_form(" ".join(broken))[0]
     step = max(200, len(whole) // 2)
     windows = {at: difflib.SequenceMatcher(None, whole, form[at : at + len(whole) + 100]).ratio() for at in range(0, max(1, len(form) - len(whole)), step)}
-    assert (place, how) == (max(windows, key=windows.get), round(max(windows.values()), 3))
-    assert M.find_anchor(["a", "b", "c"], form) == M.find_anchor(said[:2], form) == M.find_anchor(said, "") == (-1, 0.0)
+    assert (place, how) == (places[max(windows, key=windows.get)], pytest.approx(max(windows.values()), abs=0.0006))
+    assert anchor(spark, ["a", "b", "c"], text) == anchor(spark, said[:2], text) == anchor(spark, said, "") == (-1, 0.0)
+
+
+def test_stretches_do_not_matter(spark, monkeypatch):
+    """Hits and scans across the borders of stretches, in a book with signs whose lower case is longer."""
+    text = "İ " + prose(6, 900) + " Σ koniec"
+    books = spark.createDataFrame([("b", text), ("c", "İ" + text)], "book_id STRING, text STRING")
+    said = [text.split()[k : k + 30] for k in range(0, 850, 50)]
+    rows = [(b, k, [w if i % 4 or k % 3 else "inne" for i, w in enumerate(s)]) for b in "bc" for k, s in enumerate(said)]
+    asks = spark.createDataFrame(rows, "book_id STRING, snippet_id INT, words ARRAY<STRING>")
+    found = []
+    for size in (M.SIZE, 100):
+        monkeypatch.setattr(M, "SIZE", size)
+        found.append(sorted(tuple(r) for r in M.book_anchors(books, asks).collect()))
+    assert found[0] == found[1]
+    whole = [(b, k, w) for b, k, w in rows if "inne" not in w]
+    place = {(b, k): p for b, k, p, _ in found[0]}
+    assert len(whole) == 22 and all(0 <= place[b, k] - ("İ" * (b == "c") + text).index(" ".join(w)) < 150 for b, k, w in whole)
+
+
+def test_recordings_take_their_places_in_turn(spark):
+    """A passage that stands twice is taken first by one recording, then by the next; one that is nowhere stands where the search stood."""
+    twice, parts = prose(21, 60), [prose(k, 120) for k in range(22, 25)]
+    text = " ".join([parts[0], twice, parts[1], twice, parts[2]])
+    heard = [parts[0].split()[:30], twice.split()[:30], twice.split()[:30], ["zupełnie", "inny", "tekst"], parts[2].split()[:30]]
+    rows = [("b", f"{k}.mp3", 10.0, w) for k, w in enumerate(heard)]
+    out = M.proposed(spark.createDataFrame([("b", text)], "book_id STRING, text STRING"), spark.createDataFrame(rows, "book_id STRING, audio_file STRING, duration DOUBLE, words ARRAY<STRING>"))
+    got = [(r.text_start, r.confidence >= 0.75) for r in out.orderBy("chapter_num").collect()]
+    second = text.index(twice, len(parts[0]) + 50)
+    assert [g[1] for g in got] == [True, True, True, False, True]
+    assert [got[k][0] for k in (0, 1, 2, 4)] == [0, len(parts[0]) + 1, second, text.index(parts[2])] and second < got[3][0] < got[4][0]
 
 
 def test_dealing_recordings():
-    assert M.dealt([100, 100], [10, 10]) == [range(0, 1), range(1, 2)]
-    assert M.dealt([200, 100], [10, 10, 10]) == [range(0, 2), range(2, 3)]
-    assert M.dealt([100, 100, 100], [10, 10]) == [range(0, 1), range(1, 2), range(2, 2)]
-    assert M.dealt([300], [10, 10, 10]) == [range(0, 3)]
+    assert M.dealt([100, 100], [10, 10]) == [0, 1]
+    assert M.dealt([200, 100], [10, 10, 10]) == [0, 0, 1]
+    assert M.dealt([100, 100, 100], [10, 10]) == [0, 1]
+    assert M.dealt([300], [10, 10, 10]) == [0, 0, 0]
+    assert M.dealt([100], [1, 100]) == [0, 0] and M.dealt([1, 1], [10, 10, 10]) == [0, 1, -1]
 
 
 @pytest.fixture(scope="module")
