@@ -1,11 +1,12 @@
 """Aligning a text's words with the words of a transcript.
 
-Matching blocks and fuzzy repairs are sequential by nature and run per chapter in one grouped Python
-function; everything after it (interpolation, inserts, reports) is windows over its rows.
+Matching blocks are found by joins over all chapters at once (``blocks``); only gaps between them, rows of their own, are
+finished by a small function; everything after it (interpolation, inserts, reports) is windows over its rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 
 import pandas as pd
@@ -14,17 +15,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numbers import round3
+from tidemark.operators import blocks as B
 
 # Fixed values.
 FUZZY, STEP, LEAST_STEP = 0.75, 0.35, 0.05
 EXTRA_SECONDS, EXTRA_WORDS = 1.5, 4
 
 
+def equal_words(heard: list[str], book: list[str]) -> dict[int, int]:
+    """Book word -> heard word of the matching blocks of a gap.
+
+    A gap of more than ``blocks.GAP`` words has no two words in a row in common (``blocks`` saw to that), so each heard word
+    takes its next place in the book.
+    """
+    if max(len(heard), len(book)) <= B.GAP:
+        own = difflib.SequenceMatcher(None, heard, book, autojunk=False).get_matching_blocks()
+        return {b + k: h + k for h, b, n in own for k in range(n)}
+    places, found, at = {}, {}, 0
+    for b, word in enumerate(book):
+        places.setdefault(word, []).append(b)
+    for h, word in enumerate(heard):
+        own = places.get(word, ())
+        k = bisect.bisect_left(own, at)
+        if k < len(own):
+            found[own[k]], at = h, own[k] + 1
+    return found
+
+
 def match_words(heard: list[str], book: list[str], fuzzy: float = FUZZY) -> dict[int, int]:
     """Book word -> heard word: equal blocks first, then for each word left the likest one between its neighbours."""
-    found = {}
-    for h, b, n in difflib.SequenceMatcher(None, heard, book, autojunk=False).get_matching_blocks():
-        found.update({b + k: h + k for k in range(n)})
+    found = equal_words(heard, book)
     if fuzzy > 1:
         return found
     used = set(found.values())
@@ -64,15 +84,14 @@ def block_places(typed: pd.Series, heard: pd.Series) -> pd.Series:
 def matches(book: DataFrame, heard: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """``chapter_num, token_idx, heard_idx`` from ``book(chapter_num, token_idx, norm)`` and ``heard(chapter_num, heard_idx, norm)``."""
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("token_idx"), right.sort_values("heard_idx")
-        found = match_words(right["norm"].tolist(), left["norm"].tolist(), fuzzy)
-        chapter = (left if len(left) else right)["chapter_num"].iloc[0]
-        tokens, heards = left["token_idx"].tolist(), right["heard_idx"].tolist()
-        return pd.DataFrame([(chapter, tokens[b], heards[h]) for b, h in sorted(found.items())], columns=["chapter_num", "token_idx", "heard_idx"])
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def finish(own: pd.Series, text: pd.Series) -> pd.Series:
+        found = (match_words(list(h), list(b), fuzzy) for h, b in zip(own, text, strict=True))
+        return pd.Series([[{"a": h, "b": b} for b, h in x.items()] for x in found])
 
-    keep = lambda df, c: df.select("chapter_num", c, "norm").groupBy("chapter_num")
-    return keep(book, "token_idx").cogroup(keep(heard, "heard_idx")).applyInPandas(pair, "chapter_num LONG, token_idx INT, heard_idx INT")
+    a, b = heard.select("chapter_num", F.col("heard_idx").alias("a_idx"), "norm"), book.select("chapter_num", F.col("token_idx").alias("b_idx"), "norm")
+    found = B.aligned(a, b, finish)
+    return found.select(F.col("chapter_num").cast("long").alias("chapter_num"), F.col("b_idx").cast("int").alias("token_idx"), F.col("a_idx").cast("int").alias("heard_idx"))
 
 
 def interpolated(words: DataFrame, durations: DataFrame) -> DataFrame:
