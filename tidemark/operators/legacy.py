@@ -77,7 +77,9 @@ def applied(boards: DataFrame, cuts: DataFrame) -> DataFrame:
     """``boards`` with the cuts of ``refined`` that stay inside their pair of boards; boards touch where a cut was taken.
 
     A cut is taken if it lies 0.05 s after its board's start, which an earlier cut may have moved, and before the next
-    board's end. Whether the cut before was taken decides that start, so the cuts of a chapter are one fold.
+    board's end. Only whether the cut before was taken decides that start, so each cut is a map of "taken" or "not" to
+    the same. Such a map is constant, leaves as is, or turns round; so a cut is what the last constant one says, turned
+    as often as there are turning ones since: counts and one last value, no fold.
     """
     order = Window.partitionBy("chapter_num").orderBy("idx")
     own = boards.select("chapter_num", "idx", "start_time", "end_time", F.lead("end_time").over(order).alias("next_end"))
@@ -85,16 +87,13 @@ def applied(boards: DataFrame, cuts: DataFrame) -> DataFrame:
     head = cuts.filter("method = 'edge' and point_id = -1").select("chapter_num", F.col("cut").alias("head"))
     tail = cuts.filter("method = 'edge' and point_id <> -1").select("chapter_num", F.col("cut").alias("tail"))
     rows = own.join(inner, ["chapter_num", "idx"], "left")
-    start0 = F.struct(F.lit(None).cast("double").alias("moved"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(state, b):
-        start = F.coalesce(state["moved"], b["start_time"])
-        take = F.coalesce((start + ROOM < b["cut"]) & (b["cut"] < b["next_end"] - ROOM), F.lit(False))
-        return F.struct(F.when(take, F.round(b["cut"], 3)).alias("moved"), F.array_append(state["taken"], take).alias("taken"))
-
-    fold = rows.groupBy("chapter_num").agg(F.array_sort(F.collect_list(F.struct("idx", "start_time", "end_time", "next_end", "cut"))).alias("bs"))
-    fold = fold.withColumn("taken", F.aggregate("bs", start0, step, lambda s: s["taken"])).select("chapter_num", F.posexplode(F.arrays_zip("bs", "taken")).alias("k", "x"))
-    flat = fold.select("chapter_num", "k", "x.bs.*", F.when(F.col("x.taken"), F.round("x.bs.cut", 3)).alias("own"))
+    cut, before = F.round("cut", 3), F.round(F.lag("cut").over(order), 3)
+    takes = lambda start: F.coalesce((start + ROOM < F.col("cut")) & (F.col("cut") < F.col("next_end") - ROOM), F.lit(False))
+    maps = rows.withColumn("if_not", takes(F.col("start_time"))).withColumn("if_taken", F.when(before.isNull(), F.col("if_not")).otherwise(takes(before)))
+    turns = maps.withColumn("turns", F.count_if(F.col("if_not") & ~F.col("if_taken")).over(order))
+    known = F.when(F.col("if_not") == F.col("if_taken"), F.struct(F.col("if_not").alias("taken"), "turns"))
+    taken = turns.withColumn("known", F.last(known, True).over(order)).withColumn("taken", F.col("known.taken") != ((F.col("turns") - F.col("known.turns")) % 2 == 1))
+    flat = taken.select("chapter_num", "idx", "start_time", "end_time", (F.row_number().over(order) - 1).alias("k"), F.when(F.col("taken"), cut).alias("own"))
     by = Window.partitionBy("chapter_num").orderBy("k")
     flat = flat.withColumn("start_time", F.coalesce(F.lag("own").over(by), "start_time")).withColumn("end_time", F.coalesce("own", "end_time"))
     flat = flat.withColumn("is_last", F.lead("k").over(by).isNull()).join(head, "chapter_num", "left").join(tail, "chapter_num", "left")
