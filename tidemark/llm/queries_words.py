@@ -23,7 +23,7 @@ WITH RECURSIVE crc AS (
 ), hash AS (
   SELECT r, times, len,
          xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x), 2), lambda i: CAST('0x' || substr(x, CAST(i + 1 AS INT), 2) AS BIGINT))),
-                         lambda c, b: xor(c >> 8, t[xor(c, b) & 255 + 1])), 4294967295) AS h
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
   FROM byte, crc
 ), word AS (
   SELECT w AS word, CAST(sum(times) AS BIGINT) AS n
