@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import alignment as A
@@ -26,12 +25,12 @@ def test_order_is_the_recurrence(spark):
         for t in times[1:]:
             out.append(round(out[-1] + 0.2, 3) if t < out[-1] + 0.2 - 1e-9 else t)
         want[c] = out
-    df = spark.createDataFrame(rows, "c INT, i INT, t DOUBLE")
-    own = Window.partitionBy("c").orderBy("i")
-    got = {}
-    for r in df.select("c", "i", T.in_order(F.col("t"), F.col("i"), F.lit(1e9), own).alias("v")).orderBy("c", "i").collect():
-        got.setdefault(r.c, []).append(round(r.v, 3))
-    assert got == {c: [pytest.approx(x, abs=1e-9) for x in xs] for c, xs in want.items()}
+    df = spark.createDataFrame(rows, "chapter_num INT, point_id INT, t DOUBLE").withColumn("duration", F.lit(1e9))
+    for levels in ([], None, [F.floor(F.col("point_id") / 3)]):
+        got = {}
+        for r in T.in_order(df, levels).orderBy("chapter_num", "point_id").collect():
+            got.setdefault(r.chapter_num, []).append(round(r.time, 3))
+        assert got == {c: [pytest.approx(x, abs=1e-9) for x in xs] for c, xs in want.items()}
 
 
 def envelope(spark):

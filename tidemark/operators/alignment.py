@@ -10,12 +10,13 @@ import bisect
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numbers import round3
 from tidemark.operators import blocks as B
+from tidemark.operators.scans import STRETCH, Scan, numbered, scanned
 
 # Fixed values.
 FUZZY, STEP, LEAST_STEP = 0.75, 0.35, 0.05
@@ -100,15 +101,13 @@ def interpolated(words: DataFrame, durations: DataFrame) -> DataFrame:
     Before the first and after the last match words take 0.35 s each; between matches they share the gap;
     without any match they share the recording (60 s where its length is unknown).
     """
-    order = Window.partitionBy("chapter_num").orderBy("token_idx")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     hit = F.when(F.col("start").isNotNull(), F.col("token_idx"))
-    w = words.join(durations.select("chapter_num", F.coalesce("duration", F.lit(0.0)).alias("d")), "chapter_num").withColumns(
-        {
-            "p": F.last(hit, True).over(back), "pe": F.last("end", True).over(back), "q": F.first(hit, True).over(ahead), "qs": F.first("start", True).over(ahead),
-            "n": F.count(F.lit(1)).over(Window.partitionBy("chapter_num")),
-        }
+    w = scanned(
+        words, ["chapter_num"], ["token_idx"], [F.floor(F.col("token_idx") / STRETCH)],
+        {"p": Scan(hit, "last"), "pe": Scan(F.col("end"), "last"), "q": Scan(hit, "ahead"), "qs": Scan(F.col("start"), "ahead")},
     )
+    w = w.join(words.groupBy("chapter_num").agg(F.count(F.lit(1)).alias("n")), "chapter_num")
+    w = w.join(durations.select("chapter_num", F.coalesce("duration", F.lit(0.0)).alias("d")), "chapter_num")
     i, r3 = F.col("token_idx"), round3
     whole = F.when(F.col("d") == 0, 60.0).otherwise(F.col("d")) / F.col("n")
     lead = F.greatest(F.lit(0.0), F.col("qs") - (F.col("q") - i) * STEP)
@@ -133,9 +132,10 @@ def extras(heard: DataFrame, token_counts: DataFrame, seconds: float = EXTRA_SEC
     ``heard``: chapter_num, heard_idx, word, start, end, token_idx (null: no match). The anchor is the next
     matched word's place in the text.
     """
-    order = Window.partitionBy("chapter_num").orderBy("heard_idx")
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    rows = heard.withColumn("run", F.count("token_idx").over(order)).withColumn("next", F.first("token_idx", True).over(ahead)).filter("token_idx is null")
+    matched = F.col("token_idx").isNotNull().cast("int")
+    rows = scanned(
+        heard, ["chapter_num"], ["heard_idx"], [F.floor(F.col("heard_idx") / STRETCH)], {"run": Scan(matched, "total"), "next": Scan(F.col("token_idx"), "ahead")}
+    ).filter("token_idx is null")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("heard_idx", "word"))), lambda x: x["word"]), " ")
     runs = rows.groupBy("chapter_num", "run").agg(
         F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.count(F.lit(1)).cast("int").alias("word_count"), said.alias("heard"), F.first("next").alias("next"), F.min("heard_idx").alias("first")
@@ -156,11 +156,12 @@ def board_times(spans: DataFrame) -> DataFrame:
 
     The ends e'(i) = max(e(i), s(i) + 0.5, e'(i-1) + 0.5) are a running maximum of what is left of each less 0.5 i.
     """
-    order, least = Window.partitionBy("chapter_num").orderBy("board_idx"), F.lit(0.5)
-    n = F.row_number().over(order)
-    rows = spans.withColumn("n", n).withColumn("least_end", F.greatest(F.col("e"), F.greatest(F.col("s"), F.lit(0.0)) + least))
-    rows = rows.withColumn("end", F.max(F.col("least_end") - F.col("n") * least).over(order) + F.col("n") * least)
-    start = F.greatest(F.col("s"), F.coalesce(F.lag("end").over(order), F.lit(0.0)))
+    least, along = F.lit(0.5), (["chapter_num"], ["board_idx"], [F.floor(F.col("board_idx") / STRETCH)])
+    rows = numbered(spans, *along, "n").withColumn("least_end", F.greatest(F.col("e"), F.greatest(F.col("s"), F.lit(0.0)) + least))
+    left = F.col("least_end") - F.col("n") * least
+    rows = scanned(rows, *along, {"top": Scan(left, "highest"), "before": Scan(left, "highest", own=False)})
+    rows = rows.withColumn("end", F.col("top") + F.col("n") * least)
+    start = F.greatest(F.col("s"), F.coalesce(F.col("before") + (F.col("n") - 1) * least, F.lit(0.0)))
     return rows.select("chapter_num", "board_idx", F.round(start, 3).alias("start_time"), F.round("end", 3).alias("end_time"))
 
 

@@ -136,15 +136,20 @@ def tokens(chapters: DataFrame) -> DataFrame:
         X.is_dialogue(F.col("b")).alias("is_dialogue"),
         F.arrays_zip(F.regexp_extract_all("b", F.lit("(?U)\\S+"), F.lit(0)).alias("word"), F.regexp_extract_all("b", F.lit("(?U)\\s+"), F.lit(0)).alias("gap")).alias("ts"),
     )
-    flat = parts.select(*KEYS, "block_idx", "is_dialogue", F.posexplode("ts").alias("k", "t"))
-    order = Window.partitionBy(*KEYS).orderBy("block_idx", "k")
-    sep = (
-        F.when(F.lead("k").over(order).isNull(), "").when(F.coalesce(F.col("t.gap"), F.lit("\n")).contains("\n"), "\n").otherwise(" ")
-    )
-    rows = flat.select(*KEYS, (F.row_number().over(order) - 1).alias("token_idx"), F.col("t.word").alias("word"), sep.alias("sep"), "block_idx", "is_dialogue")
-    before = Window.partitionBy(*KEYS).orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word") + F.length("sep")).over(before), F.lit(0)).cast("int")
-    return rows.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("word"))
+    # One row per block finds where its words begin; a word then looks along its own block only.
+    order = Window.partitionBy(*KEYS).orderBy("block_idx")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    chars = F.aggregate("ts", F.lit(0).cast("long"), lambda n, t: n + F.length(t["word"]) + 1)
+    placed = parts.filter(F.size("ts") > 0).withColumns(
+        {"words_before": F.coalesce(F.sum(F.size("ts")).over(before), F.lit(0)), "chars_before": F.coalesce(F.sum(chars).over(before), F.lit(0)), "ends": F.lead("block_idx").over(order).isNull()}
+    )
+    flat = placed.select(*KEYS, "block_idx", "is_dialogue", "words_before", "chars_before", "ends", F.size("ts").alias("n"), F.posexplode("ts").alias("k", "t"))
+    sep = F.when(F.col("ends") & (F.col("k") == F.col("n") - 1), "").when(F.coalesce(F.col("t.gap"), F.lit("\n")).contains("\n"), "\n").otherwise(" ")
+    inside = Window.partitionBy(*KEYS, "block_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.col("chars_before") + F.coalesce(F.sum(F.length("t.word") + 1).over(inside), F.lit(0))).cast("int")
+    return flat.select(
+        *KEYS, (F.col("words_before") + F.col("k")).cast("int").alias("token_idx"), F.col("t.word").alias("word"), sep.alias("sep"), "block_idx", "is_dialogue", start.alias("char_start")
+    ).withColumn("char_end", F.col("char_start") + F.length("word"))
 
 
 def rendered(rows: DataFrame, *keys: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import round3
 from tidemark.operators.intervals import last_before, meeting, next_after
+from tidemark.operators.scans import STRETCH
 
 # Fixed values.
 SEARCH, MIN_SILENCE, PROBE, SAFE = 0.70, 0.10, 0.6, 0.08
@@ -37,13 +38,24 @@ def envelope_stats(frame_rows: DataFrame) -> DataFrame:
 
 
 def quiet_islands(frame_rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Maximal runs of quiet frames: first_frame, end_frame (exclusive)."""
+    """Maximal runs of quiet frames: first_frame, end_frame (exclusive).
+
+    Found in stretches of ``STRETCH`` frames; the runs at their borders, two a stretch at most, are put together afterwards.
+    """
     quiet = frame_rows.join(stats.select("chapter_num", "threshold"), "chapter_num").filter(F.col("rms") < F.col("threshold"))
-    order = Window.partitionBy("chapter_num").orderBy("frame_idx")
-    return (
-        quiet.withColumn("run", F.col("frame_idx") - F.row_number().over(order)).groupBy("chapter_num", "run")
-        .agg(F.min("frame_idx").alias("first_frame"), (F.max("frame_idx") + 1).alias("end_frame")).drop("run")
+    quiet = quiet.withColumn("stretch", F.floor(F.col("frame_idx") / STRETCH))
+    order = Window.partitionBy("chapter_num", "stretch").orderBy("frame_idx")
+    parts = (
+        quiet.withColumn("run", F.col("frame_idx") - F.row_number().over(order)).groupBy("chapter_num", "stretch", "run")
+        .agg(F.min("frame_idx").alias("first_frame"), (F.max("frame_idx") + 1).alias("end_frame"))
     )
+    # Runs that a border of stretches cuts: only the first and last run of a stretch can go on beyond it.
+    border = (F.col("first_frame") % STRETCH == 0) | (F.col("end_frame") % STRETCH == 0)
+    cut = parts.withColumn("inside", F.when(~border, F.col("first_frame")))
+    along = Window.partitionBy("chapter_num", "inside").orderBy("first_frame")
+    starts = F.coalesce(F.lag("end_frame").over(along) != F.col("first_frame"), F.lit(True))
+    runs = cut.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(along))
+    return runs.groupBy("chapter_num", "inside", "run").agg(F.min("first_frame").alias("first_frame"), F.max("end_frame").alias("end_frame")).drop("inside", "run")
 
 
 def silences(islands: DataFrame, hop_s: float, least: float = MIN_SILENCE) -> DataFrame:

@@ -14,6 +14,8 @@ from tidemark.functions.numbers import round3
 from tidemark.operators import alignment as A
 from tidemark.operators import signal as G
 from tidemark.operators.intervals import meeting
+from tidemark.operators.scans import STRETCH as STRETCH_PLACES
+from tidemark.operators.scans import Scan, numbered, scanned
 from tidemark.sources.scratch import materialise
 
 # Fixed values.
@@ -117,17 +119,21 @@ def units(boards: DataFrame, inserts: DataFrame, corrections: DataFrame, token_c
         "chapter_num", F.col("anchor").alias("place"), F.lit(0).alias("is_book"), "insert_board", "cut_key", F.lit("insert").alias("kind"), "text", F.lit(False).alias("dialogue"),
         F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"), "anchor", "edited", F.lit(False).alias("corrected"), "first_start", "last_end",
     )
-    order = Window.partitionBy("chapter_num").orderBy("place", "is_book", "insert_board")
-    return book.unionByName(extra).withColumn("unit_idx", F.row_number().over(order) - 1).drop("place", "is_book")
+    stretch = F.floor(F.col("place") / STRETCH_PLACES)
+    return numbered(book.unionByName(extra), ["chapter_num"], ["place", "is_book", "insert_board"], [stretch], "unit_idx").drop("place", "is_book")
 
 
-def in_order(t: Column, i: Column, duration: Column, over) -> Column:
-    """Cut times at least LEAST_BOARD apart, none pushed beyond ``duration``.
+def in_order(points: DataFrame, levels: list[Column] | None = None) -> DataFrame:
+    """``points(chapter_num, point_id, t, duration)`` with ``time``: cut times at least LEAST_BOARD apart, none pushed beyond ``duration``.
 
-    Without the cap the recurrence t'(i) = max(t(i), t'(i-1) + gap) is a running maximum of t(i) - gap i.
+    Without the cap the recurrence t'(i) = max(t(i), t'(i-1) + gap) is a running maximum of t(i) - gap i. ``levels``: see ``scanned``.
     """
-    pushed = F.max(t - i * LEAST_BOARD).over(over) + i * LEAST_BOARD
-    return F.when(pushed > t + 1e-9, F.greatest(t, F.round(F.least(pushed, duration), 3))).otherwise(t)
+    t, i, duration = F.col("t"), F.col("point_id"), F.col("duration")
+    levels = [F.floor(i / STRETCH_PLACES)] if levels is None else levels
+    rows = scanned(points, ["chapter_num"], ["point_id"], levels, {"time": Scan(t - i * LEAST_BOARD, "highest")})
+    pushed = F.col("time") + i * LEAST_BOARD
+    time = F.when(pushed > t + 1e-9, F.greatest(t, F.round(F.least(pushed, duration), 3))).otherwise(t)
+    return rows.withColumn("time", time)
 
 
 def cuts(unit_rows: DataFrame, islands: DataFrame, stats: DataFrame, silence_rows: DataFrame, segments: DataFrame, overrides: DataFrame, hop_s: float, search: float = G.SEARCH, least: float = G.MIN_SILENCE) -> DataFrame:
@@ -163,8 +169,7 @@ def cuts(unit_rows: DataFrame, islands: DataFrame, stats: DataFrame, silence_row
     )
     timed = materialise(timed, "timed")
     safe = G.probed(timed.select("chapter_num", "point_id", "t"), islands, stats, hop_s).select("chapter_num", "point_id", "safety")
-    own = Window.partitionBy("chapter_num").orderBy("point_id")
-    placed = timed.join(safe, ["chapter_num", "point_id"]).withColumn("time", in_order(F.col("t"), F.col("point_id"), F.col("duration"), own))
+    placed = in_order(timed).join(safe, ["chapter_num", "point_id"])
     placed = materialise(placed, "placed")
     s = segments.select("chapter_num", F.col("seg_id"), F.col("start").alias("s"), F.col("end").alias("e"), X.strip(F.col("text")).alias("said"))
     broken = (

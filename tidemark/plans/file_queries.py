@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import timing as T
@@ -39,12 +38,10 @@ def u7_ordered_cuts(spark, sf_dir):
     """Cut times forced into order: words' ends, pulled back by up to six hours where the index is odd."""
     words = R.word_times(spark, sf_dir)
     t = F.greatest(F.lit(0.0), F.col("end") - F.when(F.col("token_idx") % 2 == 1, F.col("token_idx") % 7).otherwise(0))
-    rows = words.select("chapter_num", F.col("token_idx").alias("idx"), t.alias("t"))
-    own = Window.partitionBy("chapter_num").orderBy("idx")
+    rows = words.select("chapter_num", F.col("token_idx").alias("point_id"), t.alias("t"))
     # The recording ends with the latest cut, so the last ones meet its end.
-    end = F.max("t").over(Window.partitionBy("chapter_num"))
-    rows = rows.withColumn("end", end)
-    return rows.select("chapter_num", "idx", F.round(T.in_order(F.col("t"), F.col("idx"), F.col("end"), own), 6).alias("time"))
+    rows = rows.join(rows.groupBy("chapter_num").agg(F.max("t").alias("duration")), "chapter_num")
+    return T.in_order(rows).select("chapter_num", F.col("point_id").alias("idx"), F.round("time", 6).alias("time"))
 
 
 QUERIES = {f.__name__: f for f in (s11_chapter_of_name, s15_audio_files, w3_confidence_bands, u7_ordered_cuts)}
