@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import alignment as A
@@ -54,3 +55,26 @@ def test_a_long_chapter_with_fuzzy_words(spark):
     place = {k: n for n, k in enumerate(right)}
     assert sum(found.get(k) == place[k] for k in right) >= 0.99 * len(right)
     assert all(a < b for a, b in zip(*(lambda v: (v, v[1:]))([h for _, h in sorted(found.items())]), strict=False))
+
+
+def test_regions_are_finished_one_at_a_time():
+    """Words of many regions go by as a stream: pairs come out before later batches are asked for, also where a region spans batches."""
+    rng = random.Random(5)
+    regions = [(c, r, [rng.choice("abcd") for _ in range(rng.randrange(9))], [rng.choice("abcd") for _ in range(rng.randrange(9))]) for c in range(40) for r in (0, 7)]
+    rows = [(c, r, side, 2 * k + c, w) for c, r, *both in regions for side, ws in enumerate(both) for k, w in enumerate(ws)]
+    asked = []
+
+    def batches(size):
+        for k in range(0, len(rows), size):
+            asked.append(k)
+            yield pa.RecordBatch.from_pylist([dict(zip(("chapter_num", "r", "side", "idx", "norm"), x, strict=True)) for x in rows[k : k + size]])
+
+    want = [(c, 2 * h + c, 2 * b + c) for c, _, heard, book in regions for b, h in A.match_words(heard, book, 2.0).items()]
+    for size in (1, 3, 50, 10_000):
+        asked.clear()
+        got, behind = [], []
+        for batch in B.finished(batches(size), lambda said, text: A.match_words(said, text, 2.0)):
+            got += [tuple(x.values()) for x in batch.to_pylist()]
+            behind.append(len(asked))
+        assert got == want
+        assert size > 50 or behind[0] < len(asked) / 2

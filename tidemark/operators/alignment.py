@@ -85,13 +85,8 @@ def block_places(typed: pd.Series, heard: pd.Series) -> pd.Series:
 def matches(book: DataFrame, heard: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """``chapter_num, token_idx, heard_idx`` from ``book(chapter_num, token_idx, norm)`` and ``heard(chapter_num, heard_idx, norm)``."""
 
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def finish(own: pd.Series, text: pd.Series) -> pd.Series:
-        found = (match_words(list(h), list(b), fuzzy) for h, b in zip(own, text, strict=True))
-        return pd.Series([[{"a": h, "b": b} for b, h in x.items()] for x in found])
-
     a, b = heard.select("chapter_num", F.col("heard_idx").alias("a_idx"), "norm"), book.select("chapter_num", F.col("token_idx").alias("b_idx"), "norm")
-    found = B.aligned(a, b, finish)
+    found = B.aligned(a, b, lambda said, text: match_words(said, text, fuzzy))
     return found.select(F.col("chapter_num").cast("long").alias("chapter_num"), F.col("b_idx").cast("int").alias("token_idx"), F.col("a_idx").cast("int").alias("heard_idx"))
 
 

@@ -4,8 +4,8 @@ The blocks are those of a recursion that takes the longest equal run (the earlie
 left and right of it. Here all open regions go on at once, from long runs to short ones: runs of at least GRAMS[k] words are
 found by a hash join of word n-grams within a region. A run that is compatible with all others of its region
 is taken whatever the order; between two such, of runs that contradict each other the longest is taken. Both cut their
-region, and what is left of the others is looked at again. Regions of at most GAP words a side are rows of their own
-and finished by a small function.
+region, and what is left of the others is looked at again. Regions of at most GAP words a side are finished by a small function:
+their words, sorted by region, go by it as a stream, so a worker holds one region's words and one batch, however many there are.
 
 A longer region that is left has no two words in a row in common; there the recursion comes down to taking each word at its next
 place, which needs no pairs. Word numbers come from counts of stretches of STRETCH words and an offset each.
@@ -13,8 +13,14 @@ place, which needs no pairs. Word numbers come from counts of stretches of STRET
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.scratch import materialise
 
@@ -97,11 +103,50 @@ def large(a: DataFrame, b: DataFrame, regions: DataFrame) -> tuple[DataFrame | N
     return blocks, regions if small is None else small.unionByName(regions)
 
 
+def finished(batches, finish):
+    """Batches ``chapter_num, a_idx, b_idx`` of matching words from batches ``chapter_num, r, side, idx, norm`` in order of region and side (0: a, 1: b).
+
+    A region may go on in the next batch; no more than one region and one batch is held.
+    """
+
+    def pairs(key, sides, idx, norms):
+        sides, idx = np.concatenate(sides), np.concatenate(idx)
+        n = int(np.searchsorted(sides, 1))
+        found = finish(norms[:n], norms[n:])
+        b, a = (np.fromiter(x, np.int64, len(found)) for x in (found.keys(), found.values()))
+        return pa.repeat(key[0], len(found)), pa.array(idx[:n][a]), pa.array(idx[n:][b])
+
+    def batch_of(done):
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], names=["chapter_num", "a_idx", "b_idx"])
+
+    key, sides, idx, norms = None, [], [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chapter, r, side, at = batch.column(0), batch.column(1), *(batch.column(k).to_numpy() for k in (2, 3))
+        words, done = batch.column(4).to_pylist(), []
+        new = pc.or_(pc.not_equal(chapter[1:], chapter[:-1]), pc.not_equal(r[1:], r[:-1]))
+        for low, high in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]):
+            own = chapter[low], r[low]
+            if own != key:
+                if norms:
+                    done.append(pairs(key, sides, idx, norms))
+                key, sides, idx, norms = own, [], [], []
+            sides.append(side[low:high])
+            idx.append(at[low:high])
+            norms += words[low:high]
+        if done:
+            yield batch_of(done)
+    if norms:
+        yield batch_of([pairs(key, sides, idx, norms)])
+
+
 def aligned(a: DataFrame, b: DataFrame, finish) -> DataFrame:
     """``chapter_num, a_idx, b_idx`` of matching words of ``a(chapter_num, a_idx, norm)`` and ``b(chapter_num, b_idx, norm)``.
 
-    ``finish(a_norms, b_norms)`` gives the pairs of places within a region as ``array<struct<a:int,b:int>>``.
+    ``finish(a_norms, b_norms)`` gives, for lists of a region's words, each matched place of b with its place of a.
     """
+    kinds = {c: x.schema[c].dataType for x, c in ((a, "chapter_num"), (a, "a_idx"), (b, "b_idx"))}
     a, b = (materialise(x.select("chapter_num", c, "norm"), "words") for x, c in ((a, "a_idx"), (b, "b_idx")))
     a, b = (materialise(numbered(x, c).withColumn("code", F.xxhash64("norm")), "numbered") for x, c in ((a, "a_idx"), (b, "b_idx")))
     count = lambda x, c: x.groupBy("chapter_num").agg(F.count(F.lit(1)).cast("int").alias(c))
@@ -113,16 +158,13 @@ def aligned(a: DataFrame, b: DataFrame, finish) -> DataFrame:
         blocks, left = large(a, b, whole.filter(big))
         regions = materialise(whole.filter(~big).unionByName(left), "regions")
 
-    def held(words, x):
-        own = within(words, "pos", regions, f"{x}_low", f"{x}_high").groupBy("chapter_num", "r")
-        return own.agg(F.array_sort(F.collect_list(F.struct("pos", F.col(f"{x}_idx").alias("idx"), "norm"))).alias(x))
+    def held(words, x, side):
+        own = within(words, "pos", regions, f"{x}_low", f"{x}_high")
+        return own.select("chapter_num", "r", F.lit(side).alias("side"), "pos", F.col(f"{x}_idx").cast("long").alias("idx"), "norm")
 
-    both = held(a, "a").join(held(b, "b"), ["chapter_num", "r"])
-    norms = lambda c: F.transform(c, lambda w: w["norm"])
-    pairs = both.select("chapter_num", "a", "b", finish(norms("a"), norms("b")).alias("p"))
-    at = F.transform("p", lambda p: F.struct(F.get("a", p["a"])["idx"].alias("a_idx"), F.get("b", p["b"])["idx"].alias("b_idx")))
-    # Outer, as before an inner one Spark would test the arrays' sizes in a filter of its own.
-    out = pairs.select("chapter_num", F.explode_outer(at).alias("p")).filter("p IS NOT NULL").select("chapter_num", "p.*")
+    rows = held(a, "a", 0).unionByName(held(b, "b", 1)).repartition("chapter_num", "r").sortWithinPartitions("chapter_num", "r", "side", "pos").drop("pos")
+    schema = T.StructType([T.StructField("chapter_num", rows.schema["chapter_num"].dataType), T.StructField("a_idx", T.LongType()), T.StructField("b_idx", T.LongType())])
+    out = rows.mapInArrow(lambda batches: finished(batches, finish), schema).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
     if blocks is None:
         return out
     each = blocks.select("chapter_num", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.struct((F.col("i") + s).alias("i"), (F.col("j") + s).alias("j")))).alias("p")).select("chapter_num", "p.*")
