@@ -42,6 +42,17 @@ def test_headings_and_scores(spark):
     assert [(r.chapter_num, r.text_start, r.text_end) for r in rows] == [(r.number, r.body_start, n) for r, n in zip(own, [own[1].match_start, own[2].match_start, len(text)], strict=True)]
 
 
+def test_headings_read_the_books_once(spark):
+    """One pass over the lines for all patterns: their rows meet no other patterns' in one task by a union."""
+    rows = [("a", "I.\n12\n\n* * *\nchapter V: five\nprolog\nrozdział drugi\n"), ("b", "")]
+    found = C.headings(spark.createDataFrame(rows, "book_id STRING, text STRING"))
+    assert [(r.pattern, r.number, r.title, r.idx) for r in found.orderBy("match_start").collect()] == [
+        ("roman_bare", 1, "12", 0), ("arabic_bare", 12, "* * *", 0), ("asterisks", None, "* * *", 0), ("chapter_named", 5, "five", 0), ("rozdzial_named", None, "rozdział drugi", 0), ("rozdzial_named", 2, "", 1),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_places_of_search_form(spark):
     texts = ["", " — ", "Ala ma  kota.", "x", "  x1,y ", "żółw!!", "a\n\nb "]
     got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", X.search_places(F.col("t")).alias("p"), X.search_form(F.col("t")).alias("f")).collect()

@@ -65,17 +65,18 @@ def headings(books: DataFrame) -> DataFrame:
     body = F.col("match_start") + F.length("line")
     after = F.col("next.line")
     good = (F.col("next.match_start") < body + SHORT_SPAN) & (F.length(after) <= 90) & ~after.rlike("^[—–-]") & ~after.rlike("[.!?:]$")
-    rows = None
-    for k, (name, pattern) in enumerate(PATTERNS):
-        found = placed.filter(F.col("line").rlike(pattern) & (X.strip(F.col("line")) != ""))
-        title = F.regexp_replace(F.regexp_extract("line", pattern, 2), "^[ .:—–-]+|[ .:—–-]+$", "")
-        title = F.when(title != "", title).otherwise(F.coalesce(F.when(good, after), F.lit("")))
-        head = X.strip(F.col("line"))
-        part = found.select(
-            "book_id", "text_len", F.lit(name).alias("pattern"), F.lit(k).alias("pattern_no"), "match_start", body.alias("body_start"),
-            F.when(head.contains(title), head).otherwise(F.concat(head, F.lit(" "), title)).alias("header"), number(F.regexp_extract("line", pattern, 1)).alias("number"), title.alias("title"),
-        )
-        rows = part if rows is None else rows.unionByName(part)
+    # All patterns in one pass: a union would read and sort the books' lines once a pattern, all in the same task.
+    which = F.explode_outer(F.array(*(F.when(F.col("line").rlike(pattern), k) for k, (_, pattern) in enumerate(PATTERNS))))
+    hits = placed.select("book_id", "text_len", "match_start", "line", body.alias("body_start"), F.when(good, after).alias("after"), which.alias("pattern_no")).filter("pattern_no IS NOT NULL")
+    hits = hits.withColumn("head", X.strip(F.col("line"))).filter("head <> ''")
+    own = lambda part: F.coalesce(*(F.when(F.col("pattern_no") == k, part(*p)) for k, p in enumerate(PATTERNS)))
+    hits = hits.withColumns({"pattern": own(lambda name, _: F.lit(name)), "token": own(lambda _, p: F.regexp_extract("line", p, 1)), "rest": own(lambda _, p: F.regexp_extract("line", p, 2))})
+    title = F.regexp_replace("rest", "^[ .:—–-]+|[ .:—–-]+$", "")
+    hits = hits.withColumn("title", F.when(title != "", title).otherwise(F.coalesce("after", F.lit(""))))
+    rows = hits.select(
+        "book_id", "text_len", "pattern", "pattern_no", "match_start", "body_start",
+        F.when(F.col("head").contains(F.col("title")), F.col("head")).otherwise(F.concat("head", F.lit(" "), "title")).alias("header"), number(F.col("token")).alias("number"), "title",
+    )
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("book_id", "pattern_no").orderBy("match_start")) - 1)
 
 
