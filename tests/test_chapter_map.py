@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,21 @@ def test_insert_words(spark):
     assert got[2, 0] == [(0.0, 0.667), (0.667, 1.333), (1.333, 2.0)]
     units = {(r.chapter_num, r.anchor): r for r in T.insert_units(inserts).collect()}
     assert units[1, 9].text == X.NO_SOURCE and (units[1, 9].first_start, units[1, 9].last_end) == (7.0, 8.0)
+
+
+def test_a_line_goes_on_where_it_waited():
+    """Recordings with too few words ask for no scan; a line that waited for one goes on from there and gives what it would as a whole."""
+    fields = pa.schema([(c, pa.string()) for c in ("ask", "book_id")] + [(c, pa.int32()) for c in ("line", "seq", "start", "gap", "end", "fallback")] + [("sure", pa.float64()), ("mute", pa.bool_()), ("k", pa.int32()), ("pos", pa.int32()), ("how", pa.float64()), ("scan_start", pa.int32())])
+    row = lambda seq, start, mute=False, k=None, pos=None, how=None, scan=None: dict(zip(fields.names, (f"b/{seq}", "b", 0, seq, start, 50, None, None, 0.0, mute, k, pos, how, scan), strict=True))
+    first = [row(0, 0, k=0, pos=10, how=0.6), row(0, 0, k=1, pos=300, how=0.9), row(0, 0, k=2, pos=5, how=1.0), row(1, 0, mute=True)]
+    rest = lambda start: [row(2, start, k=-1, pos=700, how=0.5, scan=350), row(3, start, k=0, pos=100, how=1.0), row(3, start, k=1, pos=800, how=0.7)]
+
+    def turns(rows, size):
+        return [tuple(x.values())[3:] for b in M._turns(pa.RecordBatch.from_pylist(rows[k : k + size], fields) for k in range(0, len(rows), size)) for x in b.to_pylist()]
+
+    for size in (1, 2, 100):
+        waiting = turns([*first, row(2, 0), row(3, 0, k=1, pos=800, how=0.7)], size)
+        assert waiting == [(0, 300, 0.9, True, False), (1, 350, 0.0, False, False), (2, 350, 0.0, False, True)]
+        later = turns(rest(350), size)
+        assert later == [(2, 700, 0.5, True, False), (3, 800, 0.7, True, False)]
+        assert turns(first + rest(0), size) == waiting[:2] + later

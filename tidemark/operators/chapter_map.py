@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -198,54 +200,79 @@ class Search:
 LINES = "ask STRING, book_id STRING, line INT, seq INT, start INT, gap INT, end INT, fallback INT, sure DOUBLE"
 
 
-def _turn(frame: pd.DataFrame) -> pd.DataFrame:
+TURNS = {"ask": pa.string(), "book_id": pa.string(), "line": pa.int32(), "seq": pa.int32(), "pos": pa.int32(), "how": pa.float64(), "found": pa.bool_(), "open": pa.bool_()}
+
+
+def _turn(rows: list[dict]):
     """One line's recordings in turn: each takes its likest hit behind the search's place, or stands where the line says.
 
-    Numbers only; ``k`` is -1 for what a scan found, -2 for a scan that found nothing, and null for a recording without hits.
+    ``rows`` of numbers, in order of ``seq``; ``k`` is -1 for what a scan found, -2 for a scan that found nothing, and null for a recording
+    without hits. A ``mute`` recording has too few words for a scan. The line stops, ``open``, at a recording that needs one.
     """
-    out, at = [], None
-    for seq, own in frame.sort_values("seq", kind="stable").groupby("seq", sort=True):
-        ask = own.iloc[0]
-        at = int(ask["start"]) if at is None else at
-        ahead = own[(own["k"] >= 0) & (own["pos"] >= at)].sort_values(["k", "how", "pos"], ascending=[True, False, True])
-        scan = own[(own["k"] < 0) & (own["scan_start"] == at)]
-        if len(ahead):
-            firsts = ahead.drop_duplicates("k")  # each start's likest; those behind a good one don't count
-            firsts = firsts[firsts["how"].cummax().shift(fill_value=0.0) < GOOD]
-            best = firsts.loc[firsts["how"].idxmax()]
-            pos, how = int(best["pos"]), float(best["how"])
-        elif len(scan):
-            pos, how = (int(scan["pos"].iloc[0]), float(scan["how"].iloc[0])) if scan["k"].iloc[0] == -1 else (-1, 0.0)
+    at = None
+    for seq, own in groupby(rows, itemgetter("seq")):
+        own = list(own)
+        ask = own[0]
+        at = ask["start"] if at is None else at
+        ahead = sorted((x["k"], -x["how"], x["pos"]) for x in own if x["k"] is not None and x["k"] >= 0 and x["pos"] is not None and x["pos"] >= at)
+        scan = [x for x in own if x["k"] is not None and x["k"] < 0 and x["scan_start"] == at]
+        if ahead:
+            pos, how, last = -1, -1.0, None
+            for k, less, place in ahead:
+                if k == last:
+                    continue  # each start's likest
+                if how >= GOOD:
+                    break  # those behind a good one don't count
+                last = k
+                if -less > how:
+                    pos, how = place, -less
+        elif scan:
+            pos, how = (scan[0]["pos"], scan[0]["how"]) if scan[0]["k"] == -1 else (-1, 0.0)
+        elif ask["mute"]:
+            pos, how = -1, 0.0
         else:
-            out.append((ask["ask"], ask["book_id"], int(ask["line"]), int(seq), at, 0.0, False, True))
-            break
-        inside = pos >= 0 and how >= ask["sure"] and (pd.isna(ask["end"]) or at - ask["gap"] < pos < ask["end"])
-        fixed = not pd.isna(ask["fallback"])
-        place = pos if inside else int(ask["fallback"]) if fixed else at
-        out.append((ask["ask"], ask["book_id"], int(ask["line"]), int(seq), place, how if inside else 0.0, inside, False))
-        at = place + int(ask["gap"]) if inside or fixed else at
-    return pd.DataFrame(out, columns=["ask", "book_id", "line", "seq", "pos", "how", "found", "open"])
+            yield ask["ask"], ask["book_id"], ask["line"], seq, at, 0.0, False, True
+            return
+        inside = pos >= 0 and how >= ask["sure"] and (ask["end"] is None or at - ask["gap"] < pos < ask["end"])
+        fixed = ask["fallback"] is not None
+        place = pos if inside else ask["fallback"] if fixed else at
+        yield ask["ask"], ask["book_id"], ask["line"], seq, place, how if inside else 0.0, inside, False
+        at = place + ask["gap"] if inside or fixed else at
+
+
+def _turns(batches):
+    """TURNS of batches of lines' recordings and hits, in order of line and ``seq``."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return _rows((x for _, own in groupby(rows, itemgetter("book_id", "line")) for x in _turn(own)), TURNS)
 
 
 def in_turn(search: Search, lines: DataFrame, in_text: bool) -> DataFrame:
-    """``ask, book_id, line, seq, pos, how, found`` of all recordings of ``lines`` (LINES), in places of the text or of the search form."""
+    """``ask, book_id, line, seq, pos, how, found`` of all recordings of ``lines`` (LINES), in places of the text or of the search form.
+
+    A line that waits for a scan goes on from there in the next round; what stands before is kept.
+    """
     place = "text_place" if in_text else "place"
-    lines, known = materialise(lines, "lines"), None
+    mute = search.asks.select("ask", F.col("whole").isNull().alias("mute"))
+    lines, known, parts = materialise(lines.join(mute, "ask"), "lines"), None, None
     none = F.lit(None).cast("int")
+    schema = "ask STRING, book_id STRING, line INT, seq INT, pos INT, how DOUBLE, found BOOLEAN, open BOOLEAN"
     while True:
         hits = search.hits.select("ask", "k", F.col(place).alias("pos"), "how", none.alias("scan_start"))
         rows = lines.join(hits if known is None else hits.unionByName(known), "ask", "left")
-        done = rows.groupBy("book_id", "line").applyInPandas(_turn, "ask STRING, book_id STRING, line INT, seq INT, pos INT, how DOUBLE, found BOOLEAN, open BOOLEAN")
+        done = rows.repartition("book_id", "line").sortWithinPartitions("book_id", "line", "seq").mapInArrow(_turns, schema)
         done = materialise(done, "turns")
-        wanting = done.filter("open").select("ask", "book_id", F.col("pos").alias("asked"))
+        kept = done.filter("NOT open").drop("open")
+        parts = kept if parts is None else parts.unionByName(kept)
+        wanting = done.filter("open").select("ask", "book_id", "line", F.col("seq").alias("from"), F.col("pos").alias("asked"))
         if not wanting.limit(1).count():
-            return done.drop("open")
-        starts = wanting.withColumn("start", F.col("asked"))
+            return parts
+        starts = wanting.select("ask", "book_id", F.col("asked").alias("start"))
         starts = search.form_places(starts, "start") if in_text else starts
-        found = search.scanned(starts.select("ask", "book_id", "start")).select("ask", F.col(place).alias("pos"), "how")
+        found = search.scanned(starts).select("ask", F.col(place).alias("pos"), "how")
         new = wanting.join(found, "ask", "left").select("ask", F.when(F.col("pos").isNull(), -2).otherwise(-1).alias("k"), "pos", "how", F.col("asked").alias("scan_start"))
-        new = materialise(new, "scans")
-        known = new if known is None else known.unionByName(new)
+        known = materialise(new, "scans")
+        left = lines.join(wanting.drop("ask"), ["book_id", "line"]).filter(F.col("seq") >= F.col("from"))
+        lines = materialise(left.withColumn("start", F.col("asked")).select(lines.columns), "lines")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
