@@ -115,3 +115,38 @@ def test_limit_is_exact(spark):
         a, b = list(range(n)), [*range(same), *range(100, 100 + m - same)]
         row = spark.createDataFrame([(a, b)], "a ARRAY<LONG>, b ARRAY<LONG>").select(near_copies.alike("a", "b").alias("x")).first()
         assert row.x == linked == (10 * same >= 8 * (n + m - same))
+
+
+def test_a_large_group_costs_rows_by_its_size(spark, monkeypatch):
+    """Near copies in one bucket: pairs that are made, and rows that are kept of links, grow with their number, not its square."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = [" ".join([*base, f"x{k}"]) for k in range(120)]
+    made, kept, check = [], [], near_copies.Links.check
+
+    def counted(self, pairs):
+        made.append(pairs.count())
+        check(self, pairs)
+        kept.append(self.found.count())
+
+    monkeypatch.setattr(near_copies.Links, "check", counted)
+    monkeypatch.setattr(near_copies, "by_fingerprint", lambda links: links.check(spark.createDataFrame([], "a LONG, b LONG")))
+    docs = spark.createDataFrame([(k, t, "en", "src0", 0) for k, t in enumerate(rows)], DOCS)
+    assert [r.doc_id for r in near_copies.deduplicate(docs).collect()] == [0]
+    assert sum(made) < 2 * 3 * near_copies.CENTERS * len(rows) and max(kept) <= len(rows)
+
+
+def test_maps_let_near_sets_through(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cases = []
+    for n in (1, 5, 40, 300, 2000):
+        for gone in (0, n // 20, n // 9, n // 4):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
+            near = 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+            cases.append((near_copies.bitmap(a).tolist(), len(a), near_copies.bitmap(b).tolist(), len(b), bool(near), n))
+    rows = spark.createDataFrame(cases, "a ARRAY<LONG>, m LONG, b ARRAY<LONG>, n LONG, near BOOLEAN, size LONG")
+    got = rows.select(near_copies.maps_allow("a", "m", "b", "n").alias("allowed"), "near", "size").collect()
+    assert all(r.allowed for r in got if r.near) and any(not r.allowed for r in got if not r.near and r.size == 300)

@@ -20,14 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     links = materialise(
         links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
     )
-    labels = materialise(
-        links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels"
-    )
+    ends = lambda c: links.select(F.col(c).alias("node")).distinct()
+    labels = materialise(ends("a").unionByName(ends("b")).distinct().withColumn("component", F.col("node")), "labels")
     while links.limit(1).count():
-        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        parent_table = parent = materialise(
-            ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("low")).select("node", F.least("node", "low").alias("parent")), "parents"
-        )
+        # As a < b, only the larger end of a link can have a smaller neighbour; a node without one is a root and has no row.
+        parent_table = parent = materialise(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "parents")
         while True:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
             higher = parent.join(up, "parent", "left").select("node", F.col("parent").alias("old"), F.coalesce("top", "parent").alias("parent"))
@@ -37,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
             if not higher.filter("old <> parent").limit(1).count():
                 break
         to = lambda c: parent.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
-        moved = links.join(to("a"), "a").join(to("b"), "b").select("a_root", "b_root").filter("a_root <> b_root")
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b").select(F.coalesce("a_root", "a").alias("a_root"), "b_root").filter("a_root <> b_root")
         old_links, old_labels = links, labels
         links = materialise(
             moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links"

@@ -12,8 +12,11 @@ no candidates; where counters mislead, only time is lost.
 Texts with equal sets are one node. In a shingle's bucket some CENTERS nodes, drawn by hash, are compared with the
 others; then, with the components of the links found so far, what is left in a bucket are pairs of different
 components. ROUNDS rounds go on so, unless there are at most FEW pairs a node left; after that all that are left and in
-reach of each other are compared. So no candidate is left out unless it already is connected, a small bucket is done
-at once, and a bucket of near copies costs as many comparisons as it has members, times CENTERS.
+reach of each other are compared. So no candidate is left out unless it already is connected, a bucket of fewer than
+2 * CENTERS nodes is done at once, and a bucket of near copies costs as many comparisons as it has members, times CENTERS.
+Two nodes whose last shared shingles before a bucket's are the same one meet in that one's bucket already, at earlier
+places; so near copies meet once a run of shingles in which their prefixes agree, not once a shingle. In the last round
+a map of BITS bits of each set is looked at while pairs are made: each bit that one has alone stands for a shingle that the other lacks.
 
 Defined cases: as in ``simhash``; texts without words are alike; one with fewer words than a shingle is one
 shingle. Sets are of 64-bit hashes.
@@ -26,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
@@ -35,9 +38,11 @@ from tidemark.llm.components import components
 from tidemark.llm.simhash import SEED, majority, shingles
 from tidemark.llm.tokens import as_bytes
 
-SHINGLE, CENTERS, ROUNDS, FEW = 5, 16, 3, 100
+SHINGLE, CENTERS, ROUNDS, FEW = 5, 8, 2, 4
 #: Counters of shingles, a power of two; and in how many rows a task sends its own.
 SLOTS, PARTS = 1 << 20, 64
+#: Bits of a set's map, a power of two and a multiple of 64.
+BITS = 512
 #: Sets that a task makes at once.
 ROWS = 512
 #: Texts that are looked up by a broadcast of their names, some 10 MB; beyond it texts are shuffled.
@@ -63,6 +68,20 @@ def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort(ranks)[: len(hashes) // 5 + 1]
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A set's map: for each of BITS ranges of hashes, whether the set has one there."""
+    own = np.zeros(BITS, np.uint8)
+    own[(hashes >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)] = 1
+    return np.packbits(own).view(np.int64)
+
+
+def maps_allow(bits_a: str, size_a: str, bits_b: str, size_b: str) -> Column:
+    """Whether sets of these sizes can overlap by 0.8, by their maps."""
+    alone = lambda x, y: sum(F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64))
+    a, b = F.col(size_a), F.col(size_b)
+    return _COMMON * F.least(a - alone(bits_a, bits_b), b - alone(bits_b, bits_a)) >= _SIZES * (a + b)
+
+
 def alike(a: str, b: str) -> Column:
     """Whether two sets (arrays without repeats) overlap by 0.8."""
     return _COMMON * F.size(F.array_intersect(a, b)) >= _SIZES * (F.size(a) + F.size(b))
@@ -110,25 +129,27 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``doc_id, mark, node, size, fp, keys`` of every row."""
+    """``doc_id, mark, node, size, fp, keys, bits`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, fps, keys = [], [], [], [np.empty(0, np.uint64)]
+            nodes, sizes, fps, keys, maps = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for text in as_bytes(batch.column(1)):
                 own = shingle_set(text)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
                 fps.append(majority(own))
                 keys.append(prefix(own, shared.value))
+                maps.append(bitmap(own))
             ends = np.cumsum([len(k) for k in keys]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
             node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
-            columns = [batch.column(0), batch.column(2), node, pa.array(sizes, pa.int64()), fp, lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "fp", "keys"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * (BITS // 64), BITS // 64, dtype=np.int32)), pa.array(np.concatenate(maps)))
+            columns = [batch.column(0), batch.column(2), node, pa.array(sizes, pa.int64()), fp, lists, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "fp", "keys", "bits"])
 
-    return docs.mapInArrow(run, "doc_id LONG, mark LONG, node LONG, size LONG, fp LONG, keys ARRAY<LONG>")
+    return docs.mapInArrow(run, "doc_id LONG, mark LONG, node LONG, size LONG, fp LONG, keys ARRAY<LONG>, bits ARRAY<LONG>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -180,7 +201,10 @@ def beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> tuple[DataFrame,
 
 
 class Links:
-    """Links found so far between nodes of ``distinct(node, size, fp, keys, first)``, and the sets read for them."""
+    """Links found so far between nodes of ``distinct(node, size, fp, keys, bits, first)``, and the sets read for them.
+
+    ``found(node, component)`` are the components of the links so far: at most one row a node, however many links there were.
+    """
 
     def __init__(self, docs: DataFrame, distinct: DataFrame, repeated: bool):
         """``repeated``: whether rows of ``docs`` are alike in id and text."""
@@ -203,8 +227,11 @@ class Links:
         self.sets = more if self.sets is None else self.sets.unionByName(more)
         whole, firsts = beside(pairs, self.sets, "hashes")
         good = materialise(whole.filter(alike("hashes_a", "hashes_b")).select("a", "b"), "near")
-        self.found = good if self.found is None else self.found.unionByName(good)
-        discard(pairs, nodes, firsts)
+        before, known = self.found, good
+        if before is not None:
+            known = good.unionByName(before.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        self.found = components(known)
+        discard(pairs, nodes, firsts, good, *([] if before is None else [before]))
         release_shuffles(self.docs.sparkSession)
 
 
@@ -225,12 +252,13 @@ def by_prefix(links: Links) -> None:
     keyed = links.distinct.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.shiftleft("size", 32) + F.col("at")).alias("sized"))
     shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
     own = keyed.join(shared, "key").select("key", "node", F.shiftright("sized", 32).alias("size"), F.col("sized").bitwiseAND(0xFFFFFFFF).alias("at"))
-    left = materialise(own, "members")
+    # The shared shingle before this one in the node's order.
+    left = materialise(own.withColumn("before", F.lag("key").over(Window.partitionBy("node").orderBy("at"))), "members")
     discard(shared)
     release_shuffles(left.sparkSession)
     most = FEW * links.distinct.count()
     for k in range(ROUNDS + 1):
-        own = left.join(components(links.found), "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("component"))
+        own = left.join(links.found, "node", "left").select("key", "node", "size", "at", "before", F.coalesce("component", "node").alias("component"))
         before, left = left, materialise(own, "left")
         discard(before)
         parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -244,11 +272,18 @@ def by_prefix(links: Links) -> None:
         discard(before, open_)
         # The same nodes in all buckets at first, so few pairs; then others in each, so that what is left meets many.
         center = F.pmod(F.xxhash64("node", F.col("key") if k else F.lit(0)), "step") == 0
-        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "at", "component"))) for rows, x in ((left.filter(center), "a"), (left, "b")))
+        rows, columns = left, ("node", "size", "at", "before", "component")
+        if k == ROUNDS:
+            rows, columns = left.join(links.distinct.select("node", "bits"), "node"), (*columns, "bits")
+        a, b = (own.select("key", *(F.col(c).alias(f"{c}_{x}") for c in columns)) for own, x in ((rows.filter(center), "a"), (rows, "b")))
         differ = (F.col("node_a") != F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        pairs = a.join(b, "key").filter(differ & in_reach("size_a", "at_a", "size_b", "at_b"))
+        new = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+        reach = in_reach("size_a", "at_a", "size_b", "at_b")
+        if k == ROUNDS:  # both ways in one row
+            reach = (F.col("node_a") < F.col("node_b")) & reach & maps_allow("bits_a", "size_a", "bits_b", "size_b")
+        pairs = a.join(b, "key").filter(differ & new & reach)
         links.check(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-        before, left = left, materialise(left.filter(~center).select("key", "node", "size", "at"), "left")
+        before, left = left, materialise(left.filter(~center).select("key", "node", "size", "at", "before"), "left")
         discard(before)
 
 
@@ -260,7 +295,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     own = named(docs)
     rows = materialise(_signatures(own, rarity(own)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    sets = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), first)
+    sets = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), first)
     distinct = materialise(sets, "distinct_sets")
     repeated = bool(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
     discard(rows)
@@ -268,6 +303,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     links = Links(own, distinct, repeated)
     by_fingerprint(links)
     by_prefix(links)
-    found = components(links.found)
-    whole = distinct.select("node", "first").join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    whole = distinct.select("node", "first").join(links.found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     return staying(docs, whole.groupBy("component").agg(F.min("first").alias("first")))
